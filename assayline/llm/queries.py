@@ -7,14 +7,31 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayline.llm import fingerprint, sharding
+from assayline.llm import bpe, fingerprint, sharding, token_count
 from assayline.runtime import ship, table
 
 
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_bpe_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    docs, path = table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json")
+    return bpe.coding_digests(docs, path, bpe.build_lexicon(docs, path))
+
+
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edit_probe(table(spark, sf_dir, "documents"))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return token_count.token_counts(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), limit=512)
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard_by_bytes(table(spark, sf_dir, "documents"), n_shards=8)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
