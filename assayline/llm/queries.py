@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayline.llm import bpe, fingerprint, sharding, token_count
+from assayline.llm import bpe, fingerprint, pii, sharding, token_count
 from assayline.runtime import ship, table
 
 
@@ -17,6 +17,11 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op3_bpe_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     docs, path = table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json")
