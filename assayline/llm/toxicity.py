@@ -37,10 +37,10 @@ def words_of(sentence: str) -> list[str]:
 
 
 def forms(word: str) -> list[str]:
-    """What is compared: the word without marks; long words in overlapping pieces of 24 characters."""
-    w = _STRIP.sub("", word)
+    """What is compared: a start mark and the word without marks; long words in overlapping pieces of 24 characters."""
+    w = "^" + _STRIP.sub("", word)
     if len(w) <= _WIDTH:
-        return [w] if len(w) > 2 else []
+        return [w] if len(w) > 3 else []
     return [w[k : k + _WIDTH] for k in range(0, len(w) - _WIDTH // 2, _WIDTH // 2)]
 
 
@@ -158,8 +158,8 @@ class StringKernelSvm:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.raw(texts) + self.offset, -30, 30)))
 
 
-def choose_landmarks(texts: list[str], labels: list[int], most: int = 48, least: int = 8) -> list[str]:
-    """Words that toxic texts use far more often than their share of all words.
+def choose_landmarks(texts: list[str], labels: list[int], most: int = 128, least: int = 8, least_z: float = 6.0) -> list[str]:
+    """Words and word beginnings (4 to 7 letters) that toxic texts use far more often than their share of all words.
 
     A text counts for a word if it brings a context (the words before and after) that no earlier text had: neither
     copies of a text nor one long text make its words count.
@@ -170,8 +170,11 @@ def choose_landmarks(texts: list[str], labels: list[int], most: int = 48, least:
         words = ["", *[_STRIP.sub("", w) for w in text.lower().split()], ""]
         own: dict[str, set] = defaultdict(set)
         for a, w, b in zip(words, words[1:], words[2:]):
-            if 3 < len(w) <= 16:
-                own[w].add(hash((a, b)))
+            if 3 < len(w) <= 20:
+                c = hash((a, b))
+                for k in {4, 5, 6, 7, len(w)}:
+                    if k <= len(w):
+                        own[w[:k]].add(c)
         for w, found in own.items():
             if not found <= contexts[w]:
                 contexts[w] |= found
@@ -183,12 +186,12 @@ def choose_landmarks(texts: list[str], labels: list[int], most: int = 48, least:
         if toxic >= least:
             every = clean + toxic
             z = (toxic - base * every) / np.sqrt(base * (1 - base) * every)
-            if toxic / every > 0.6 and z > 7:
+            if toxic / every > 0.6 and z > least_z:
                 found.append((-z, w))
-    return [w for _, w in sorted(found)[:most]]
+    return ["^" + w for _, w in sorted(found)[:most]]
 
 
-def train(texts: list[str], labels: list[int], most_landmarks: int = 48, c: float = 1.0) -> StringKernelSvm:
+def train(texts: list[str], labels: list[int], most_landmarks: int = 128, c: float = 1.0) -> StringKernelSvm:
     """Trains on the sentences of labelled texts (each sentence has its text's label; repeated sentences count once)."""
     landmarks = choose_landmarks(texts, labels, most_landmarks)
     model = StringKernelSvm(landmarks)
@@ -204,7 +207,7 @@ def train(texts: list[str], labels: list[int], most_landmarks: int = 48, c: floa
         for s in _SENTENCE.split(text):
             rows[s] = max(label, rows.get(s, 0))
     vocab: dict[str, int] = {}
-    pieces, where, sentence = [], [], []
+    where, sentence = [], []
     for i, s in enumerate(rows):
         for w in words_of(s):
             for f in forms(w):
