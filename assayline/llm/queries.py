@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayline.llm import bpe, fingerprint, langid, pii, sharding, token_count, toxicity
+from assayline.llm import bpe, decontam, fingerprint, langid, pii, sharding, token_count, toxicity
 from assayline.runtime import ship, table
 
 
@@ -38,6 +38,12 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edit_probe(table(spark, sf_dir, "documents"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document and item that it holds; clean documents have none."""
+    ship(spark)
+    return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return token_count.token_counts(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), limit=512)
