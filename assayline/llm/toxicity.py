@@ -9,7 +9,7 @@ a document takes its highest sentence, calibrated on labelled documents.
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -164,29 +164,37 @@ def choose_landmarks(texts: list[str], labels: list[int], most: int = 128, least
     A text counts for a word if it brings a context (the words before and after) that no earlier text had: neither
     copies of a text nor one long text make its words count.
     """
-    contexts: dict[str, set] = defaultdict(set)
-    seen: dict[str, list[int]] = defaultdict(lambda: [0, 0])
-    for text, label in zip(texts, labels):
+    def keys(text: str) -> Iterator[tuple[str, str, str]]:
         words = ["", *[_STRIP.sub("", w) for w in text.lower().split()], ""]
-        own: dict[str, set] = defaultdict(set)
         for a, w, b in zip(words, words[1:], words[2:]):
             if 3 < len(w) <= 20:
-                c = hash((a, b))
                 for k in {4, 5, 6, 7, len(w)}:
                     if k <= len(w):
-                        own[w[:k]].add(c)
+                        yield w[:k], a, b
+
+    # By texts first, so that contexts are kept for few words only.
+    toxic = Counter(w for text, label in zip(texts, labels) if label for w in {k[0] for k in keys(text)})
+    toxic = {w: n for w, n in toxic.items() if n >= least}
+    clean = Counter(w for text, label in zip(texts, labels) if not label for w in {k[0] for k in keys(text)} & toxic.keys())
+    some = {w for w, n in toxic.items() if n / (n + clean[w]) > 0.5}
+    contexts: dict[str, set] = defaultdict(set)
+    seen: dict[str, list[int]] = defaultdict(lambda: [0, 0])
+    for text, label in zip(texts, labels):
+        own: dict[str, set] = defaultdict(set)
+        for w, a, b in keys(text):
+            if w in some:
+                own[w].add((a, b))
         for w, found in own.items():
             if not found <= contexts[w]:
                 contexts[w] |= found
                 seen[w][label] += 1
-    n = [sum(c[k] for c in seen.values()) + 1 for k in (0, 1)]
-    base = n[1] / (n[0] + n[1])
+    base = (sum(toxic.values()) + 1) / (sum(toxic.values()) + sum(clean.values()) + 2)
     found = []
-    for w, (clean, toxic) in seen.items():
-        if toxic >= least:
-            every = clean + toxic
-            z = (toxic - base * every) / np.sqrt(base * (1 - base) * every)
-            if toxic / every > 0.6 and z > least_z:
+    for w, (n_clean, n_toxic) in seen.items():
+        if n_toxic >= least:
+            every = n_clean + n_toxic
+            z = (n_toxic - base * every) / np.sqrt(base * (1 - base) * every)
+            if n_toxic / every > 0.6 and z > least_z:
                 found.append((-z, w))
     return ["^" + w for _, w in sorted(found)[:most]]
 
@@ -206,32 +214,32 @@ def train(texts: list[str], labels: list[int], most_landmarks: int = 128, c: flo
     for text, label in zip(texts, labels):
         for s in _SENTENCE.split(text):
             rows[s] = max(label, rows.get(s, 0))
-    vocab: dict[str, int] = {}
-    where, sentence = [], []
-    for i, s in enumerate(rows):
-        for w in words_of(s):
-            for f in forms(w):
-                where.append(vocab.setdefault(f, len(vocab)))
-                sentence.append(i)
-    pieces = list(vocab)
-    f = model.features(pieces)
-    x = np.zeros((len(rows), len(landmarks)))
-    where, sentence = np.array(where, dtype=np.int64), np.array(sentence, dtype=np.int64)
-    some = f.any(axis=1)[where] if where.size else np.zeros(0, bool)
-    np.add.at(x, sentence[some], f[where[some]])
-    z, y = x @ root, np.array(list(rows.values())) * 2.0 - 1
-    w, b = squared_hinge(z, y, c)
+    vocab = list({f for s in rows for w in words_of(s) for f in forms(w)})
+    active: dict[str, np.ndarray] = {}
+    for at in range(0, len(vocab), 20_000):
+        f = model.features(vocab[at : at + 20_000])
+        active.update((vocab[at + k], f[k]) for k in np.flatnonzero(f.any(axis=1)))
+    del vocab
+    # Sentences without any such word are all alike: two rows with their numbers stand for them.
+    x, y, n = [np.zeros(len(landmarks))] * 2, [-1.0, 1.0], [0, 0]
+    for s, label in rows.items():
+        hits = [active[f] for w in words_of(s) for f in forms(w) if f in active]
+        if hits:
+            x.append(sum(hits))
+            y.append(label * 2.0 - 1)
+            n.append(1)
+        else:
+            n[label] += 1
+    w, b = squared_hinge(np.array(x) @ root, np.array(y), np.array(n, dtype=float), c)
     model = StringKernelSvm(landmarks, root @ w, b)
-    raw, t = model.raw(texts), np.array(labels, dtype=float)
-    model.slope, model.offset = platt(raw, t)
+    raw = np.concatenate([model.raw(texts[at : at + 200]) for at in range(0, len(texts), 200)])
+    model.slope, model.offset = platt(raw, np.array(labels, dtype=float))
     return model
 
 
-def squared_hinge(x: np.ndarray, y: np.ndarray, c: float, steps: int = 60) -> tuple[np.ndarray, float]:
-    """A linear SVM with squared hinge loss, by Newton steps on the active rows (rows with equal features are merged)."""
-    rows, inverse = np.unique(np.c_[x, y], axis=0, return_inverse=True)
-    n = np.bincount(inverse.ravel()).astype(float)
-    x, y = np.c_[rows[:, :-1], np.ones(len(rows))], rows[:, -1]
+def squared_hinge(x: np.ndarray, y: np.ndarray, n: np.ndarray, c: float, steps: int = 60) -> tuple[np.ndarray, float]:
+    """A linear SVM with squared hinge loss on rows that stand n times, by Newton steps on the active rows."""
+    x = np.c_[x, np.ones(len(x))]
     reg = np.eye(x.shape[1])
     reg[-1, -1] = 1e-6
     w = np.zeros(x.shape[1])
