@@ -268,7 +268,7 @@ def platt(raw: np.ndarray, label: np.ndarray, steps: int = 50) -> tuple[float, f
     return float(w[0]), float(w[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 8000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> StringKernelSvm:
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 5000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> StringKernelSvm:
     """Trains on labelled rows that aren't held out: about sample_rows of them, chosen by a hash of the id (the bound of
     what is broadcast and collected). Rows with a null text or label are left out; a repeated id counts once, as toxic if any row says so."""
     known = (
