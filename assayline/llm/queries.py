@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayline.llm import bpe, decontam, fingerprint, langid, pii, sharding, substring_dedup, token_count, toxicity
+from assayline.llm import bpe, decontam, fingerprint, langid, ngram_join, pii, sharding, substring_dedup, token_count, toxicity
 from assayline.runtime import ship, table
 
 
@@ -44,6 +44,11 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return ngram_join.join_components(table(spark, sf_dir, "documents"), k=4, percent=85)
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return token_count.token_counts(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), limit=512)
