@@ -46,9 +46,29 @@ def scratch_root(spark: SparkSession) -> str:
     return where
 
 
+#: Spark removes a query's shuffle files when it ends.
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet in the shared scratch folder and read it back: lineage is cut and survives lost executors."""
     spark = df.sparkSession
     at = f"{scratch_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(at)
+    before = spark.conf.get(_CLEAN_UP)
+    spark.conf.set(_CLEAN_UP, "true")  # this job's shuffle files serve nothing else
+    try:
+        df.write.option("compression", "zstd").parquet(at)
+    finally:
+        spark.conf.set(_CLEAN_UP, before)
     return spark.read.schema(df.schema).parquet(at)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that materialise() made, once nothing will read them again."""
+    for df in tables:
+        root = scratch_root(df.sparkSession).rstrip("/").removeprefix("file:").lstrip("/")
+        context = df.sparkSession.sparkContext
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            if root in folder:
+                path = context._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
