@@ -19,54 +19,60 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayline.llm.batches import Bitmap, bitmap_of, slices
-from assayline.llm.words import Words, powers, runs, sliding
-from assayline.runtime import materialise
+from assayline.llm.words import Words, powers, runs
+from assayline.runtime import discard, materialise
 
 SLICE = 1 << 20
 
 
 class Anchored:
-    """A slice's words with the anchors of its windows."""
+    """A slice's words and the anchors of its windows: at, hash, and the first and last window (lo, hi, by their first
+    words) that have the anchor; every window has one, the leftmost of equal hashes."""
 
     def __init__(self, column: pa.Array, window: int, anchor: int, seeds: int = 1):
         w = self.words = Words(column, seeds=seeds)
         self.window, self.anchor = window, anchor
         n = w.size - window + 1
         if n <= 0:
-            self.at, self.hash = np.zeros(0, np.int64), np.zeros(0, np.uint64)
-            self.valid = np.zeros(0, bool)
+            self.at = self.lo = self.hi = np.zeros(0, np.int64)
+            self.hash = np.zeros(0, np.int64)
             return
         h = runs(w.hashes[0], anchor)
-        span = window - anchor + 1
-        low = sliding(h, span, np.minimum)
-        self.valid = w.row[:n] == w.row[window - 1 :]
-        low = np.where(self.valid, low, 0)
-        # An anchor is the minimum of a window that holds it: the largest minimum around it is its own hash.
-        pad = np.zeros(span - 1, dtype=np.uint64)
-        most = sliding(np.concatenate([pad, low, pad]), span, np.maximum)
-        self.at = np.flatnonzero((most == h) & (h != 0))
+        best = leftmost_minimum(h, window - anchor + 1)
+        start = np.flatnonzero(w.row[:n] == w.row[window - 1 :])
+        # Anchors move forward with their windows, so the windows of one follow each other.
+        new = np.flatnonzero(np.append(True, best[start][1:] != best[start][:-1])) if start.size else start
+        self.at, self.lo = best[start[new]], start[new]
+        self.hi = start[np.append(new[1:], start.size) - 1] if start.size else start
         self.hash = h[self.at].view(np.int64)
 
-    def around(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """First and last window (by their first words) that hold the anchors at `at`, inside their texts."""
-        row = self.words.row[at]
-        lo = np.maximum(at + self.anchor - self.window, self.words.first[row])
-        hi = np.minimum(at, self.words.first[row + 1] - self.window)
-        return lo, hi
-
-    def stretch(self, at: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> list[np.ndarray]:
-        """Two hashes of all words of the windows lo to hi, and of where the anchor stands in them."""
+    def stretch(self, keep: np.ndarray) -> list[np.ndarray]:
+        """Two hashes of all words of the chosen anchors' windows, of their number and of where the anchor stands in them."""
+        at, lo, hi = self.at[keep], self.lo[keep], self.hi[keep]
         out = []
         for h in self.words.hashes:
-            base = 0xE7037ED1A0B428DB
-            up, down = powers(base, h.size + 1)
+            up, down = powers(0xE7037ED1A0B428DB, h.size + 1)
             sums = np.zeros(h.size + 1, dtype=np.uint64)
             np.cumsum(h * up[: h.size], out=sums[1:])
-            place = (at - lo).astype(np.uint64) * np.uint64(64) + (hi - at + 64).astype(np.uint64)
+            place = (at - lo).astype(np.uint64) * np.uint64(64) + (hi - lo).astype(np.uint64)
             out.append((sums[hi + self.window] - sums[lo]) * down[lo] + place * np.uint64(0x9E3779B97F4A7C15))
         return out
 
 
+def leftmost_minimum(h: np.ndarray, k: int) -> np.ndarray:
+    """Position of the smallest of every k consecutive entries, the first of equals."""
+    at, width = np.arange(h.size), 1
+
+    def better(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        return np.where(h[q] < h[p], q, p)
+
+    while 2 * width <= k:
+        at = better(at[: at.size - width], at[width:])
+        width *= 2
+    rest = k - width
+    return better(at[: at.size - rest], at[rest:]) if rest else at
+
+
 def _int(a: np.ndarray) -> pa.Array:
     return pa.array(a.view(np.int64) if a.dtype == np.uint64 else a, pa.int64())
 
@@ -134,10 +140,9 @@ def occurrences(rows: DataFrame, index: DataFrame, window: int, anchor: int, max
                 for part in slices(batch, "__text", SLICE):
                     a = Anchored(part.column("__text"), window, anchor, seeds=2)
                     keep = _chosen(a.hash, b, n_blocks, sent.value)
-                    at, h = a.at[keep], a.hash[keep]
-                    row = a.words.row[at]
-                    lo, hi = a.around(at)
-                    s1, s2 = a.stretch(at, lo, hi)
+                    lo, hi, h = a.lo[keep], a.hi[keep], a.hash[keep]
+                    row = a.words.row[lo]
+                    s1, s2 = a.stretch(keep)
                     base = a.words.first[row]
                     take = pa.array(row)
                     yield pa.RecordBatch.from_arrays(
@@ -150,37 +155,74 @@ def occurrences(rows: DataFrame, index: DataFrame, window: int, anchor: int, max
     return out
 
 
+class _Edges:
+    """The windows of a slice whose anchor may be in a block of the mixed ones: starts, and 128 bits of their words."""
+
+    def __init__(self, part: pa.RecordBatch, window: int, anchor: int, block: int, n_blocks: int, bits: Bitmap):
+        a = Anchored(part.column("__text"), window, anchor, seeds=2)
+        keep = _chosen(a.hash, block, n_blocks, bits)
+        lo, n = a.lo[keep], a.hi[keep] - a.lo[keep] + 1
+        at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        self.row = a.words.row[at] if at.size else at
+        self.start = (at - a.words.first[self.row]).astype(np.int32)
+        self.w1, self.w2 = [runs(h, window)[at].view(np.int64) if at.size else np.zeros(0, np.int64) for h in a.words.hashes]
+
+
 def boundary_windows(rows: DataFrame, mixed: DataFrame, window: int, anchor: int, max_bits: int) -> DataFrame:
-    """(w1, w2, id, hash, lo): every window that holds an anchor of `mixed`, with 128 bits of its words."""
-    out = None
-    for b, n_blocks, bits in _blocks(mixed, max_bits):
-        sent = rows.sparkSession.sparkContext.broadcast(bits)
+    """(__id, __hash, lo): boundary windows that begin in a text with a smaller id too.
+
+    Two passes over the documents instead of a stored table of all boundary windows: the first reduces them to those
+    that several ids hold, each with its smallest id; the second sends only what may be one of those to the join.
+    """
+    spark, out = rows.sparkSession, None
+    for block, n_blocks, bits in _blocks(mixed, max_bits):
+        sent = spark.sparkContext.broadcast(bits)
+
+        def reduce(batches: Iterator[pa.RecordBatch], sent=sent, block=block, n_blocks=n_blocks) -> Iterator[pa.RecordBatch]:
+            held, size = [], 0
+
+            def flush() -> pa.RecordBatch:
+                w1, w2, ids = (np.concatenate([x[k] for x in held]) for k in range(3))
+                order = np.lexsort((ids, w2, w1))
+                w1, w2, ids = w1[order], w2[order], ids[order]
+                new = np.flatnonzero(np.append(True, (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1]))) if w1.size else np.zeros(0, np.int64)
+                last = ids[np.append(new[1:], w1.size) - 1] if w1.size else ids
+                return pa.RecordBatch.from_arrays([_int(x) for x in (w1[new], w2[new], ids[new], last)], ["w1", "w2", "lo", "hi"])
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent, b=b, n_blocks=n_blocks) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part in slices(batch, "__text", SLICE):
-                    a = Anchored(part.column("__text"), window, anchor, seeds=2)
-                    lo, hi = a.around(a.at[_chosen(a.hash, b, n_blocks, sent.value)])
-                    edge = np.zeros(a.words.size + 1, dtype=np.int64)
-                    np.add.at(edge, lo, 1)
-                    np.add.at(edge, hi + 1, -1)
-                    at = np.flatnonzero(np.cumsum(edge) > 0)
-                    at = at[a.valid[at]] if at.size else at
-                    row = a.words.row[at]
-                    w = [runs(h, window)[at] for h in a.words.hashes] if at.size else [np.zeros(0, np.uint64)] * 2
-                    take = pa.array(row)
+                    e = _Edges(part, window, anchor, block, n_blocks, sent.value)
+                    held.append((e.w1, e.w2, part.column("__id").to_numpy(zero_copy_only=False)[e.row]))
+                    size += e.row.size
+                    if size > 400_000:
+                        yield flush()
+                        held, size = [], 0
+            if held:
+                yield flush()
+
+        firsts = rows.mapInArrow(reduce, "w1 bigint, w2 bigint, lo bigint, hi bigint").groupBy("w1", "w2").agg(F.min("lo").alias("first"), F.max("hi").alias("last"))
+        firsts = materialise(firsts.filter("first < last").select("w1", "w2", "first"), "rlz-firsts")
+        again = spark.sparkContext.broadcast(bitmap_of(firsts, "w1", firsts.count(), 16, max_bits))
+
+        def emit(batches: Iterator[pa.RecordBatch], sent=sent, again=again, block=block, n_blocks=n_blocks) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in slices(batch, "__text", SLICE):
+                    e = _Edges(part, window, anchor, block, n_blocks, sent.value)
+                    k = np.flatnonzero(again.value.has(e.w1)) if e.row.size else e.row
+                    take = pa.array(e.row[k])
                     yield pa.RecordBatch.from_arrays(
-                        [_int(w[0]), _int(w[1]), part.column("__id").take(take), part.column("__hash").take(take), pa.array((at - a.words.first[row]).astype(np.int32))],
-                        ["w1", "w2", "__id", "__hash", "lo"],
+                        [_int(e.w1[k]), _int(e.w2[k]), part.column("__id").take(take), part.column("__hash").take(take), pa.array(e.start[k])], ["w1", "w2", "__id", "__hash", "lo"]
                     )
 
-        found = rows.mapInArrow(run, "w1 bigint, w2 bigint, __id bigint, __hash bigint, lo int")
+        found = rows.mapInArrow(emit, "w1 bigint, w2 bigint, __id bigint, __hash bigint, lo int").join(firsts, ["w1", "w2"])
+        found = materialise(found.filter("__id > first").select("__id", "__hash", "lo"), "rlz-boundaries")
+        discard(firsts)
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def duplicate_spans(docs: DataFrame, window: int = 13, anchor: int = 5, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 1 << 28) -> DataFrame:
-    """(__id, __hash, spans): for texts with repeats, the runs of words [from, to) that windows of smaller ids cover.
+def duplicate_spans(docs: DataFrame, window: int = 13, anchor: int = 6, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 1 << 28) -> DataFrame:
+    """(__id, __hash, spans): for texts with repeats, the runs of words [lo, hi) that windows of smaller ids cover.
 
     Rows without an id or a text take no part. Nothing is gathered by anchor or window: reductions combine first, and the
     joins back are plain equi-joins, which adaptive execution splits where a key is hot.
@@ -188,20 +230,22 @@ def duplicate_spans(docs: DataFrame, window: int = 13, anchor: int = 5, id_col:
     rows = _rows(docs, id_col, text_col)
     index = materialise(shared_anchors(rows, window, anchor), "rlz-index")
     found = materialise(occurrences(rows, index, window, anchor, max_bits), "rlz-occurrences")
+    discard(index)
     kinds = found.groupBy("h").agg(
         F.min("__id").alias("first"), F.max("__id").alias("last"),
         ((F.min("s1") == F.max("s1")) & (F.min("s2") == F.max("s2"))).alias("pure"),
     ).filter("first < last")
     kinds = materialise(kinds, "rlz-kinds")
-    factors = (
-        found.select("h", "__id", "__hash", "lo", "hi").join(kinds.filter("pure").select("h", "first"), "h").filter("__id > first")
-        .select("__id", "__hash", "lo", (F.col("hi") + window).alias("hi"))
-    )
-    edges = materialise(boundary_windows(rows, kinds.filter("not pure").select("h"), window, anchor, max_bits), "rlz-boundaries")
-    firsts = edges.groupBy("w1", "w2").agg(F.min("__id").alias("first"), F.max("__id").alias("last")).filter("first < last").select("w1", "w2", "first")
-    crossing = edges.join(firsts, ["w1", "w2"]).filter("__id > first").select("__id", "__hash", "lo", (F.col("lo") + window).alias("hi"))
+    factors = found.select("h", "__id", "__hash", "lo", "hi").join(kinds.filter("pure").select("h", "first"), "h").filter("__id > first")
+    factors = materialise(factors.select("__id", "__hash", "lo", (F.col("hi") + window).alias("hi")), "rlz-factors")
+    discard(found)
+    crossing = boundary_windows(rows, kinds.filter("not pure").select("h"), window, anchor, max_bits)
+    discard(kinds)
     # A document's spans: bounded by its own words.
-    return factors.unionByName(crossing).groupBy("__id", "__hash").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    both = factors.unionByName(crossing.select("__id", "__hash", "lo", (F.col("lo") + window).alias("hi")))
+    spans = materialise(both.groupBy("__id", "__hash").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")), "rlz-spans")
+    discard(factors, crossing)
+    return spans
 
 
 def _kept(text: bytes, spans) -> tuple[int, int, bytes]:
@@ -215,13 +259,13 @@ def _kept(text: bytes, spans) -> tuple[int, int, bytes]:
     return len(words), int(drop.sum()), b" ".join([w for w, d in zip(words, drop) if not d])
 
 
-def dedup(docs: DataFrame, window: int = 13, anchor: int = 5, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 1 << 28, digests: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, window: int = 13, anchor: int = 6, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 1 << 28, digests: bool = False) -> DataFrame:
     """(id, n_words, n_removed, kept): every row's words that no window of a smaller id covers, joined by one space.
 
     digests: kept_sha256 instead of kept. Null texts have no words; texts of fewer than `window` words and rows with a
     null id keep all of theirs. Rows that share an id don't remove from one another; an empty table gives an empty result.
     """
-    spans = materialise(duplicate_spans(docs, window, anchor, id_col, text_col, max_bits), "rlz-spans")
+    spans = duplicate_spans(docs, window, anchor, id_col, text_col, max_bits)
     bits = docs.sparkSession.sparkContext.broadcast(bitmap_of(spans.select("__hash"), "__hash", spans.count(), 16, max_bits))
     rows = docs.select(
         F.col(id_col).cast("long").alias("__id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("__hash"), F.coalesce(F.col(text_col), F.lit("")).alias("__text")

@@ -91,12 +91,3 @@ def runs(h: np.ndarray, k: int) -> np.ndarray:
             power = power[: power.size - half] * np.uint64(pow(base, half, 1 << 64)) + power[half:]
     return mix(out)
 
-
-def sliding(h: np.ndarray, k: int, pick) -> np.ndarray:
-    """pick (np.minimum or np.maximum) over every k consecutive entries."""
-    width = 1
-    while 2 * width <= k:
-        h = pick(h[: h.size - width], h[width:])
-        width *= 2
-    rest = k - width
-    return pick(h[: h.size - rest], h[rest:]) if rest and h.size > rest else h[: max(0, h.size - rest)]
