@@ -12,6 +12,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -228,24 +229,24 @@ def matches(
 
 def without_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", block_bytes: int = 8 << 20, **kw) -> DataFrame:
     """docs without the rows whose text holds a window of an item; every column and row of the others stays."""
-    import pandas as pd
-
     for index in blocks(items, kw.get("item_col", "item_id"), kw.get("item_text_col", "text"), block_bytes):
-        sent = docs.sparkSession.sparkContext.broadcast(index)
-
-        @F.pandas_udf("boolean")
-        def clean(texts: pd.Series, sent=sent) -> pd.Series:
-            keep, at = np.ones(len(texts), dtype=bool), 0
-            texts = [t or "" for t in texts]
-            while at < len(texts):
-                stop, held = at, 0
-                while stop < len(texts) and (stop == at or held + len(texts[stop]) <= 1 << 20):
-                    held += len(texts[stop])
-                    stop += 1
-                for g in sent.value.search(texts[at:stop]):
-                    keep[at + g[0]] = False
-                at = stop
-            return pd.Series(keep)
-
-        docs = docs.filter(clean(F.col(text_col)))
+        docs = docs.filter(_is_clean(docs.sparkSession.sparkContext.broadcast(index))(F.col(text_col)))
     return docs
+
+
+def _is_clean(sent):
+    @F.pandas_udf("boolean")
+    def clean(texts: pd.Series) -> pd.Series:
+        keep, at = np.ones(len(texts), dtype=bool), 0
+        texts = [t or "" for t in texts]
+        while at < len(texts):
+            stop, held = at, 0
+            while stop < len(texts) and (stop == at or held + len(texts[stop]) <= 1 << 20):
+                held += len(texts[stop])
+                stop += 1
+            for g in sent.value.search(texts[at:stop]):
+                keep[at + g[0]] = False
+            at = stop
+        return pd.Series(keep)
+
+    return clean

@@ -16,6 +16,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -327,8 +328,6 @@ def replaced(text: str, base: list[tuple[str, int, int]], hits: list[tuple[int,
 
 def sanitise(docs: DataFrame, policy: Policy = Policy(), text_col: str = "text") -> DataFrame:
     """docs with text_col sanitised; all other columns and rows stay, null texts too."""
-    import pandas as pd
-
     terms = materialise(disclosing_terms(docs, policy, text_col), "pii-terms")
     rows, known = _with_hits(docs.withColumn("__text", F.col(text_col)), terms, policy.block)
 

@@ -14,6 +14,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -154,8 +155,17 @@ class StringKernelSvm:
                 out[k] = self.bias + max(sum(self.cache.get(w, 0.0) for w in words_of(s)) for s in _SENTENCE.split(texts[k]))
         return out
 
-    def score(self, texts: list[str]) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * self.raw(texts) + self.offset, -30, 30)))
+    def score(self, texts: list[str], chars: int = 2_000_000) -> np.ndarray:
+        """0 to 1 for each text, in portions of about `chars` characters."""
+        raw, at = [np.zeros(0)], 0
+        while at < len(texts):
+            stop, held = at, 0
+            while stop < len(texts) and (stop == at or held + len(texts[stop]) <= chars):
+                held += len(texts[stop])
+                stop += 1
+            raw.append(self.raw(texts[at:stop]))
+            at = stop
+        return 1 / (1 + np.exp(-np.clip(self.slope * np.concatenate(raw) + self.offset, -30, 30)))
 
 
 def choose_landmarks(texts: list[str], labels: list[int], most: int = 128, least: int = 8, least_z: float = 6.0) -> list[str]:
@@ -301,8 +311,6 @@ def scores(docs: DataFrame, model: StringKernelSvm, threshold: float = 0.7, id_c
 
 def without_toxic(docs: DataFrame, model: StringKernelSvm, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
     """docs without the rows that score at least the threshold; every column of the others stays."""
-    import pandas as pd
-
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("boolean")
