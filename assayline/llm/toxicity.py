@@ -210,7 +210,7 @@ def choose_landmarks(texts: list[str], labels: list[int], most: int = 128, least
 
 
 def train(texts: list[str], labels: list[int], most_landmarks: int = 128, c: float = 1.0) -> StringKernelSvm:
-    """Trains on the sentences of labelled texts (each sentence has its text's label; repeated sentences count once)."""
+    """Trains on the sentences of labelled texts (each sentence has its text's label; repeated sentences with near words count once)."""
     landmarks = choose_landmarks(texts, labels, most_landmarks)
     model = StringKernelSvm(landmarks)
     if not landmarks:
@@ -220,44 +220,56 @@ def train(texts: list[str], labels: list[int], most_landmarks: int = 128, c: flo
     k = model.features(landmarks)
     value, vector = np.linalg.eigh((k + k.T) / 2)
     root = vector @ np.diag(np.where(value > 1e-6, 1 / np.sqrt(np.maximum(value, 1e-6)), 0.0)) @ vector.T
+    # Sentences without any near word are all alike: two rows with their numbers stand for them. Only near words and the
+    # sentences that have them are kept, so memory follows the insults, not the texts.
+    near: dict[str, np.ndarray] = {}
+    far = Cache(50_000)
     rows: dict[str, int] = {}
-    for text, label in zip(texts, labels):
-        for s in _SENTENCE.split(text):
-            rows[s] = max(label, rows.get(s, 0))
-    vocab = list({f for s in rows for w in words_of(s) for f in forms(w)})
-    active: dict[str, np.ndarray] = {}
-    for at in range(0, len(vocab), 20_000):
-        f = model.features(vocab[at : at + 20_000])
-        active.update((vocab[at + k], f[k]) for k in np.flatnonzero(f.any(axis=1)))
-    del vocab
-    # Sentences without any such word are all alike: two rows with their numbers stand for them.
-    x, y, n = [np.zeros(len(landmarks))] * 2, [-1.0, 1.0], [0, 0]
-    for s, label in rows.items():
-        hits = [active[f] for w in words_of(s) for f in forms(w) if f in active]
-        if hits:
-            x.append(sum(hits))
-            y.append(label * 2.0 - 1)
-            n.append(1)
-        else:
-            n[label] += 1
-    w, b = squared_hinge(np.array(x) @ root, np.array(y), np.array(n, dtype=float), c)
+    n = [0, 0]
+    for at in range(0, len(texts), 100):
+        sentences = [(s, y) for text, y in zip(texts[at : at + 100], labels[at : at + 100]) for s in _SENTENCE.split(text)]
+        new = far.missing({f for s, _ in sentences for w in words_of(s) for f in forms(w)} - near.keys())
+        f = model.features(new)
+        hit = f.any(axis=1)
+        near.update((new[k], f[k].copy()) for k in np.flatnonzero(hit))  # not a view of all of f
+        far.update((new[k], True) for k in np.flatnonzero(~hit))
+        for s, y in sentences:
+            if any(f in near for w in words_of(s) for f in forms(w)):
+                rows[s] = max(y, rows.get(s, 0))
+            else:
+                n[y] += 1
+    names = list(rows)
+    parts = [np.zeros((2, len(landmarks)), dtype=np.float32)]
+    for at in range(0, len(names), 2000):
+        x = [sum(near[f] for w in words_of(s) for f in forms(w) if f in near) for s in names[at : at + 2000]]
+        parts.append((np.array(x) @ root).astype(np.float32))
+    y = np.array([-1.0, 1.0, *(v * 2.0 - 1 for v in rows.values())])
+    w, b = squared_hinge(parts, y, np.array(n + [1] * len(rows), dtype=float), c)
     model = StringKernelSvm(landmarks, root @ w, b)
+    model.cache = Cache(50_000)
     raw = np.concatenate([model.raw(texts[at : at + 200]) for at in range(0, len(texts), 200)])
     model.slope, model.offset = platt(raw, np.array(labels, dtype=float))
     return model
 
 
-def squared_hinge(x: np.ndarray, y: np.ndarray, n: np.ndarray, c: float, steps: int = 60) -> tuple[np.ndarray, float]:
-    """A linear SVM with squared hinge loss on rows that stand n times, by Newton steps on the active rows."""
-    x = np.c_[x, np.ones(len(x))]
-    reg = np.eye(x.shape[1])
+def squared_hinge(parts: list[np.ndarray], y: np.ndarray, n: np.ndarray, c: float, steps: int = 60) -> tuple[np.ndarray, float]:
+    """A linear SVM with squared hinge loss on rows (in parts) that stand n times, by Newton steps on the active rows."""
+    size = parts[0].shape[1] + 1
+    reg = np.eye(size)
     reg[-1, -1] = 1e-6
-    w = np.zeros(x.shape[1])
+    w = np.zeros(size)
     for _ in range(steps):
-        on = y * (x @ w) < 1
-        a = x[on] * n[on][:, None]
-        new = np.linalg.solve(reg + c * a.T @ x[on], c * a.T @ y[on])
-        if np.allclose(new, w, atol=1e-9):
+        left, right, at = reg.copy(), np.zeros(size), 0
+        for p in parts:
+            x = np.c_[p, np.ones(len(p))].astype(float)
+            own, times = y[at : at + len(p)], n[at : at + len(p)]
+            on = own * (x @ w) < 1
+            weighted = x[on].T * (c * times[on])
+            left += weighted @ x[on]
+            right += weighted @ own[on]
+            at += len(p)
+        new = np.linalg.solve(left, right)
+        if np.allclose(new, w, atol=1e-7):
             break
         w = new
     return w[:-1], float(w[-1])
