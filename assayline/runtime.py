@@ -11,11 +11,14 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+#: Bytes of an Arrow batch on its way to Python: a batch of long texts must not depend on its number of rows.
+ARROW_BYTES = 8 << 20
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in Python workers that don't have it installed (once per application)."""
+    """Make this package importable in Python workers that don't have it installed (once per application), and bound Arrow batches by bytes."""
     sc = spark.sparkContext
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     if sc.applicationId in _SHIPPED:
         return
     root = Path(__file__).resolve().parent
