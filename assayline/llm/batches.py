@@ -43,6 +43,17 @@ class Cache(dict):
         return out
 
 
+_HELD: dict = {}
+
+
+def held(key: tuple, make):
+    """A worker's one large object: kept from task to task until another operator (or model) asks for its own."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 class Bitmap:
     """A set of 64-bit hashes as a bit array: no false negatives; its size is fixed by n_bits, not by the data."""
 

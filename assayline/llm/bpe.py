@@ -21,7 +21,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayline.llm.batches import Cache, slices
+from assayline.llm.batches import Cache, held, slices
 from assayline.llm.lexicon import Lexicon, compile_lexicon
 
 #: Text in which Python's own case and space rules agree with the tokenizer's normaliser, and NFC changes nothing.
@@ -45,7 +45,7 @@ def _byte_chars() -> dict[int, str]:
 class Codec:
     """Encodes and decodes whole texts; one lives in each Python worker."""
 
-    def __init__(self, tokenizer_path: str, lexicon_path: str | None = None, cache: int = 250_000):
+    def __init__(self, tokenizer_path: str, lexicon_path: str | None = None, cache: int = 120_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -109,15 +109,8 @@ class Codec:
         return out
 
 
-_CODECS: dict[tuple, Codec] = {}
-
-
 def _codec(tokenizer_path: str, lexicon_name: str | None) -> Codec:
-    key = (tokenizer_path, lexicon_name)
-    if key not in _CODECS:
-        _CODECS.clear()
-        _CODECS[key] = Codec(tokenizer_path, SparkFiles.get(lexicon_name) if lexicon_name else None)
-    return _CODECS[key]
+    return held(("bpe", tokenizer_path, lexicon_name), lambda: Codec(tokenizer_path, SparkFiles.get(lexicon_name) if lexicon_name else None))
 
 
 def frequent_words(docs: DataFrame, tokenizer_path: str, size: int, text_col: str = "text", task_words: int = 200_000) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayline.llm.batches import Cache, slices
+from assayline.llm.batches import Cache, held, slices
 
 #: A space at either end or beside other white space: splitting at every single space would not be safe.
 _ODD_SPACE = re.compile(r"^\s|\s$|\s\s")
@@ -75,16 +75,13 @@ class Counter:
         return [n + sum(map(get, rest)) for n, (_, rest) in zip(self.lengths([first for first, _ in split]), split)]
 
 
-_COUNTERS: dict[str, Counter] = {}
-
-
 def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, n_tokens, over_limit) for every row, repeated rows included; a null text counts as empty (0 tokens)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from assayline.llm import token_count as here
 
-        counter = here._COUNTERS.get(tokenizer_path) or here._COUNTERS.setdefault(tokenizer_path, here.Counter(tokenizer_path))
+        counter = held(("count", tokenizer_path), lambda: here.Counter(tokenizer_path))
         for batch in batches:
             for part in slices(batch, "__text"):
                 n = pa.array(counter.count(part.column("__text").to_pylist()), pa.int64())

@@ -9,6 +9,7 @@ a document takes its highest sentence, calibrated on labelled documents.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayline.llm.batches import Cache, slices
+from assayline.llm.batches import Cache, held, slices
 from assayline.llm.langid import held_out
 
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
@@ -106,14 +107,15 @@ class StringKernelSvm:
         self.codes = [np.array([ord(c) for c in w], dtype=np.uint32) for w in self.landmarks]
         self.masks = [_mask(c[None, :])[0] for c in self.codes]
         self.norms = [float(subsequence_kernel(c[None, :], c[None, :])[0]) for c in self.codes]
-        self.cache = Cache(250_000)
+        self.key = uuid.uuid4().hex
+        self.cache = Cache(50_000)
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k != "cache"}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
-        self.cache = Cache(250_000)
+        self.cache = held(("toxicity", self.key), lambda: Cache(120_000))
 
     def features(self, words: list[str]) -> np.ndarray:
         """The kernel with each landmark, normalised, 0 to 1 between `floor` and `ceiling`. A word that lacks more than one
@@ -246,7 +248,6 @@ def train(texts: list[str], labels: list[int], most_landmarks: int = 128, c: flo
     y = np.array([-1.0, 1.0, *(v * 2.0 - 1 for v in rows.values())])
     w, b = squared_hinge(parts, y, np.array(n + [1] * len(rows), dtype=float), c)
     model = StringKernelSvm(landmarks, root @ w, b)
-    model.cache = Cache(50_000)
     raw = np.concatenate([model.raw(texts[at : at + 200]) for at in range(0, len(texts), 200)])
     model.slope, model.offset = platt(raw, np.array(labels, dtype=float))
     return model
