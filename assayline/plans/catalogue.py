@@ -516,7 +516,7 @@ def answer_rules(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.array_join(quality.answer_problems(t), ", ").alias("problems"))
 
 
-@query("""SELECT n.n_name AS name, list_sort(list_distinct(list(s_suppkey))) AS ids FROM nation n LEFT JOIN supplier ON n_nationkey = s_nationkey GROUP BY 1""")
+@query("""SELECT n.n_name AS name, list_sort(list_distinct(list(s_suppkey) FILTER (s_suppkey IS NOT NULL))) AS ids FROM nation n LEFT JOIN supplier ON n_nationkey = s_nationkey GROUP BY 1""")
 def thesaurus(spark: SparkSession, sf: str) -> DataFrame:
     n = table(spark, sf, "nation")
     d = table(spark, sf, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey")).select(F.upper("n_name").alias("word"), F.col("s_suppkey").alias("ids"))

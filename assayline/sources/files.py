@@ -88,7 +88,7 @@ def snapshot_or_rebuild(spark: SparkSession, snapshots: str, fragments: str, reb
 
 def markdown_by_pmid(spark: SparkSession, path: str) -> DataFrame:
     """(pmid, text) of files with '## PMID: ' headers; what stands before the first is left out."""
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     block = whole.select(F.explode(F.slice(F.split("value", r"(?m)^## PMID: "), 2, 1 << 30)).alias("b"))
     return block.select(F.trim(F.regexp_extract("b", r"^([^\n]*)", 1)).alias("pmid"), F.concat(F.trim(F.regexp_extract("b", r"(?s)^[^\n]*\n?(.*)$", 1)), F.lit("\n")).alias("text"))
 
@@ -103,7 +103,7 @@ def fasta(spark: SparkSession, path: str) -> DataFrame:
     """(header, sequence), records cut at '>'."""
     from assayline.functions.text import recover_ncbi
 
-    record = spark.read.option("lineSep", ">").text(path).filter(F.length(F.trim("value")) > 0)
+    record = spark.read.text(path, lineSep=">").filter(F.length(F.trim("value")) > 0)
     header = F.trim(F.regexp_extract("value", r"^([^\n]*)", 1))
     return record.select(recover_ncbi(header).alias("ncbi"), header.alias("header"), F.regexp_replace(F.regexp_extract("value", r"(?s)^[^\n]*\n(.*)$", 1), r"\s", "").alias("sequence"))
 
