@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +20,16 @@ def slices(batch: pa.RecordBatch, text: str, max_bytes: int = 4 << 20) -> Iterat
         stop = max(start + 1, int(np.searchsorted(ends, held + max_bytes, "right")))
         yield batch.slice(start, stop - start)
         start, held = stop, int(ends[stop - 1])
+    tidy()
+
+
+def tidy() -> None:
+    """Gives freed memory back to the system: a worker outlives its task, and others run beside it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
 
 
 class Cache(dict):

@@ -17,9 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayline.llm.batches import slices
+from assayline.llm.batches import slices, tidy
 
 Q = 12
+#: Bytes of text whose arrays are held at a time.
+SLICE = 1 << 19
 _BASE = 0x9E3779B97F4A7C15
 _TOP = 0x33480
 _TABLE: list[np.ndarray] = []
@@ -212,7 +214,7 @@ def matches(
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for part in slices(batch, "__text", 1 << 20):
+                for part in slices(batch, "__text", SLICE):
                     got = sent.value.search(part.column("__text").to_pylist())
                     ids = part.column("__id").take(pa.array([g[0] for g in got], pa.int64()))
                     cols = [pa.array([sent.value.ids[g[1]] for g in got], item_type), *[pa.array([g[k] for g in got], pa.int32()) for k in (2, 3, 4)]]
@@ -241,12 +243,13 @@ def _is_clean(sent):
         texts = [t or "" for t in texts]
         while at < len(texts):
             stop, held = at, 0
-            while stop < len(texts) and (stop == at or held + len(texts[stop]) <= 1 << 20):
+            while stop < len(texts) and (stop == at or held + len(texts[stop]) <= SLICE):
                 held += len(texts[stop])
                 stop += 1
             for g in sent.value.search(texts[at:stop]):
                 keep[at + g[0]] = False
             at = stop
+        tidy()
         return pd.Series(keep)
 
     return clean

@@ -22,7 +22,7 @@ from assayline.llm.components import components
 from assayline.llm.words import Words, mix, runs
 from assayline.runtime import materialise
 
-SLICE = 1 << 20
+SLICE = 1 << 19
 #: Hot tokens that are broadcast, eight bytes each; beyond it the most frequent are hot. The order of tokens never affects the result.
 MOST_HOT = 2_000_000
 
@@ -81,7 +81,7 @@ def hot_tokens(rows: DataFrame, k: int, least: int) -> np.ndarray:
                         size += s.size
                 if len(seen) > 200_000:
                     seen.clear()
-                if size > 2_000_000:
+                if size > 1_000_000:
                     yield flush()
                     held, size = [], 0
         if held:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayline.llm.batches import bitmap_of, slices
+from assayline.llm.batches import bitmap_of, slices, tidy
 from assayline.runtime import materialise
 
 KINDS = ("email", "ip", "card", "phone")
@@ -341,6 +341,7 @@ def sanitise(docs: DataFrame, policy: Policy = Policy(), text_col: str = "text")
                 base = here.base_spans(text)
                 text = here.replaced(text, base, here.term_hits(text, known.value, base, None if hit is None else list(hit)))
             out.append(text)
+        tidy()
         return pd.Series(out, dtype=object)
 
     return rows.withColumn(text_col, clean(F.col("__text"), F.col("__hits"))).select(*docs.columns)

@@ -22,7 +22,7 @@ from assayline.llm.batches import Bitmap, bitmap_of, slices
 from assayline.llm.words import Words, powers, runs
 from assayline.runtime import discard, materialise
 
-SLICE = 1 << 20
+SLICE = 1 << 19
 
 
 class Anchored:

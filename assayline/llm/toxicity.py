@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayline.llm.batches import Cache, held, slices
+from assayline.llm.batches import Cache, held, slices, tidy
 from assayline.llm.langid import held_out
 
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
@@ -140,10 +140,12 @@ class StringKernelSvm:
         new = self.cache.missing(words)
         pieces = [(w, f) for w in new for f in forms(w)]
         self.cache.update(dict.fromkeys(new, 0.0))
-        gain = self.features([f for _, f in pieces]) @ self.weights if self.landmarks else np.zeros(len(pieces))
-        for k in np.flatnonzero(gain):
-            w = pieces[k][0]
-            self.cache[w] = max(self.cache[w], float(gain[k]), key=abs)
+        for at in range(0, len(pieces) if self.landmarks else 0, 8192):
+            some = pieces[at : at + 8192]
+            gain = self.features([f for _, f in some]) @ self.weights
+            for k in np.flatnonzero(gain):
+                w = some[k][0]
+                self.cache[w] = max(self.cache[w], float(gain[k]), key=abs)
 
     def raw(self, texts: list[str]) -> np.ndarray:
         """The highest sentence of each text; the bias for a text without words."""
@@ -157,7 +159,7 @@ class StringKernelSvm:
                 out[k] = self.bias + max(sum(self.cache.get(w, 0.0) for w in words_of(s)) for s in _SENTENCE.split(texts[k]))
         return out
 
-    def score(self, texts: list[str], chars: int = 2_000_000) -> np.ndarray:
+    def score(self, texts: list[str], chars: int = 1_000_000) -> np.ndarray:
         """0 to 1 for each text, in portions of about `chars` characters."""
         raw, at = [np.zeros(0)], 0
         while at < len(texts):
@@ -167,6 +169,7 @@ class StringKernelSvm:
                 stop += 1
             raw.append(self.raw(texts[at:stop]))
             at = stop
+        tidy()
         return 1 / (1 + np.exp(-np.clip(self.slope * np.concatenate(raw) + self.offset, -30, 30)))
 
 
