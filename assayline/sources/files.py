@@ -90,7 +90,7 @@ def markdown_by_pmid(spark: SparkSession, path: str) -> DataFrame:
     """(pmid, text) of files with '## PMID: ' headers; what stands before the first is left out."""
     whole = spark.read.text(path, wholetext=True)
     block = whole.select(F.explode(F.slice(F.split("value", r"(?m)^## PMID: "), 2, 1 << 30)).alias("b"))
-    return block.select(F.trim(F.regexp_extract("b", r"^([^\n]*)", 1)).alias("pmid"), F.concat(F.trim(F.regexp_extract("b", r"(?s)^[^\n]*\n?(.*)$", 1)), F.lit("\n")).alias("text"))
+    return block.select(F.trim(F.regexp_extract("b", r"^([^\n]*)", 1)).alias("pmid"), F.concat(F.regexp_replace(F.regexp_extract("b", r"(?s)^[^\n]*\n?(.*)$", 1), r"^\s+|\s+$", ""), F.lit("\n")).alias("text"))
 
 
 def tables_by_pmid(names: DataFrame, col: str = "filename") -> DataFrame:
