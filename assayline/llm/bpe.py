@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from assayline.llm.batches import Cache, held, slices
 from assayline.llm.lexicon import Lexicon, compile_lexicon
 
+#: Bytes of text that are split at a time.
+SLICE = 1 << 21
 #: Text in which Python's own case and space rules agree with the tokenizer's normaliser, and NFC changes nothing.
 _PLAIN = re.compile(r"[\t-\r -~¡-ÿ]*")
 _LETTERS, _NUMBERS = "a-zªµºß-öø-ÿ", "0-9²³¹¼-¾"
@@ -109,11 +111,11 @@ class Codec:
         return out
 
 
-def _codec(tokenizer_path: str, lexicon_name: str | None) -> Codec:
-    return held(("bpe", tokenizer_path, lexicon_name), lambda: Codec(tokenizer_path, SparkFiles.get(lexicon_name) if lexicon_name else None))
+def _codec(tokenizer_path: str, lexicon_name: str | None, cache: int = 120_000) -> Codec:
+    return held(("bpe", tokenizer_path, lexicon_name, cache), lambda: Codec(tokenizer_path, SparkFiles.get(lexicon_name) if lexicon_name else None, cache))
 
 
-def frequent_words(docs: DataFrame, tokenizer_path: str, size: int, text_col: str = "text", task_words: int = 200_000) -> DataFrame:
+def frequent_words(docs: DataFrame, tokenizer_path: str, size: int, text_col: str = "text", task_words: int = 100_000) -> DataFrame:
     """The (word, n) that occur most often in all texts, at most size rows.
 
     A task keeps a heavy-hitter table: past 2 * task_words words it keeps the task_words most frequent, and it sends
@@ -125,7 +127,7 @@ def frequent_words(docs: DataFrame, tokenizer_path: str, size: int, text_col: st
 
         codec, seen = here._codec(tokenizer_path, None), Counter()
         for batch in batches:
-            for part in slices(batch, "__text"):
+            for part in slices(batch, "__text", SLICE):
                 chunks: Counter = Counter()
                 for text in part.column("__text").to_pylist():
                     chunks.update(codec.normal_chunks(text))
@@ -154,8 +156,10 @@ def build_lexicon(docs: DataFrame, tokenizer_path: str, size: int = 32_768, text
     return os.path.basename(path)
 
 
-def encode_decode(docs: DataFrame, tokenizer_path: str, lexicon_name: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids binary, decoded string) of every row; null and empty texts give no ids and an empty string.
+def encode_decode(
+    docs: DataFrame, tokenizer_path: str, lexicon_name: str | None = None, id_col: str = "doc_id", text_col: str = "text", cache: int = 120_000
+) -> DataFrame:
+    """(id, ids binary, decoded string) of every row; cache: chunks that a worker remembers at least. Null and empty texts give no ids and an empty string.
 
     ids are little-endian unsigned 32-bit integers. Strings of special tokens inside a text are encoded as those tokens
     and kept by decoding, as the library does by default.
@@ -164,9 +168,9 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, lexicon_name: str | None
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from assayline.llm import bpe as here
 
-        codec = here._codec(tokenizer_path, lexicon_name)
+        codec = here._codec(tokenizer_path, lexicon_name, cache)
         for batch in batches:
-            for part in slices(batch, "__text"):
+            for part in slices(batch, "__text", SLICE):
                 got = codec.code(part.column("__text").to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [part.column("__id"), pa.array([g[0] for g in got], pa.binary()), pa.array([g[1] for g in got], pa.string())], ["__id", "ids", "decoded"]
@@ -177,15 +181,17 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, lexicon_name: str | None
     return rows.mapInArrow(run, f"__id {kind}, ids binary, decoded string").withColumnRenamed("__id", id_col)
 
 
-def coding_digests(docs: DataFrame, tokenizer_path: str, lexicon_name: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256) as encode_decode gives them, hashed where they are made."""
+def coding_digests(
+    docs: DataFrame, tokenizer_path: str, lexicon_name: str | None = None, id_col: str = "doc_id", text_col: str = "text", cache: int = 120_000
+) -> DataFrame:
+    """(id, n_tokens, ids_sha256, decoded_sha256) as encode_decode gives them (with the same cache), hashed where they are made."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from assayline.llm import bpe as here
 
-        codec = here._codec(tokenizer_path, lexicon_name)
+        codec = here._codec(tokenizer_path, lexicon_name, cache)
         for batch in batches:
-            for part in slices(batch, "__text"):
+            for part in slices(batch, "__text", SLICE):
                 got = codec.code(part.column("__text").to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [

@@ -31,7 +31,7 @@ def op2_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_bpe_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     docs, path = table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json")
-    return bpe.coding_digests(docs, path, bpe.build_lexicon(docs, path))
+    return bpe.coding_digests(docs, path, bpe.build_lexicon(docs, path), cache=400_000)
 
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
