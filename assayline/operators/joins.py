@@ -173,3 +173,43 @@ def similar_names(queries: DataFrame, names: DataFrame, query: str, name: str, n
     w = Window.partitionBy("query").orderBy(F.desc("similarity"), "name")
     top = scored.withColumn("__r", F.row_number().over(w)).filter((F.col("__r") <= n) & (F.col("similarity") > least)).select("query", "name", "similarity")
     return exact.unionByName(top)
+
+
+def two_sided_names(df: DataFrame, short: str, full: str, suffix: str = "_2") -> DataFrame:
+    """(name, short_name) distinct, two rows for each input row: ours (full, else short alone) and theirs."""
+    ours = F.struct(F.coalesce(full, short).alias("name"), F.when(F.col(full).isNotNull(), F.col(short)).alias("short_name"))
+    theirs = F.struct(F.coalesce(full + suffix, short + suffix).alias("name"), F.when(F.col(full + suffix).isNotNull(), F.col(short + suffix)).alias("short_name"))
+    return df.select(F.explode(F.array(ours, theirs)).alias("r")).select("r.*").filter("name is not null").distinct()
+
+
+def first_ignoring_case(df: DataFrame, name: str, others: list[str], order: Column) -> DataFrame:
+    """The first row of each (lower-cased name, others), its spelling kept."""
+    return best_per_key(df.withColumn("__lower", F.lower(name)), ["__lower", *others], [order]).drop("__lower")
+
+
+def last_wins(left: DataFrame, table: DataFrame, key: str, name: str, value: str, order: str) -> DataFrame:
+    """left with value of its lower-cased key; of repeated names the last in order counts."""
+    t = table.filter(F.col(name).isNotNull()).groupBy(F.lower(name).alias("__k")).agg(F.max_by(value, order).alias(value))
+    return left.withColumn("__l", F.lower(key)).join(t, F.col("__l") == F.col("__k"), "left").drop("__l", "__k")
+
+
+def matched_numbers(ours: DataFrame, theirs: DataFrame, key: str, value: str, similarity) -> DataFrame:
+    """(key, value_1, value_2, objective, ratio): distinct numbers of each key paired by a similarity of two number lists."""
+    from assayline.operators.assignment import assignment_join
+
+    some = lambda df: df.select(key, F.col(value).cast("double").alias("value")).filter("value is not null").distinct()
+    pairs = assignment_join(some(ours), some(theirs), [key], similarity, "inner", objective_column="objective")
+    both = F.col("value_1").isNotNull() & F.col("value_2").isNotNull()
+    return pairs.withColumn("ratio", F.when(both, F.greatest("value_1", "value_2") / F.nullif(F.least("value_1", "value_2"), F.lit(0.0))))
+
+
+def join_distances(rows: DataFrame, distances: DataFrame, key: str = "pmid", name: str = "enzyme", short: str = "short_name", order: str = "distance") -> DataFrame:
+    """rows with the distance row of their name, else of their short name, else of the key's only name (first by order)."""
+    d = distances.withColumn("__n", F.lower("enzyme_name"))
+    first = best_per_key(d, [key, "__n"], [F.asc(order), F.asc("__n")])
+    single = d.groupBy(key).agg(F.count_distinct("__n").alias("c"), F.min("__n").alias("only")).filter("c = 1").select(key, "only")
+    wanted = rows.withColumn("__row", F.monotonically_increasing_id()).join(single, key, "left")
+    tries = wanted.select("__row", key, F.posexplode(F.array(F.lower(name), F.lower(short), "only")).alias("p", "__n")).filter("__n is not null")
+    hit = tries.join(first.drop("enzyme_name"), [key, "__n"]).drop(key, "__n")
+    best = best_per_key(hit, ["__row"], [F.asc("p")]).drop("p")
+    return wanted.join(best, "__row", "left").drop("__row", "only")

@@ -144,3 +144,33 @@ def add_fold(df: DataFrame, names: list[str]) -> DataFrame:
 
 def close_share(df: DataFrame, a: str, b: str, tolerance: float = 1e-6) -> DataFrame:
     return df.agg(F.sum(within_tolerance(F.col(a), F.col(b), tolerance)).alias("close"), F.count(F.lit(1)).alias("total"))
+
+
+def compare_tables(a: DataFrame, b: DataFrame, key: str, complete: list[str], values: list[str]) -> DataFrame:
+    """One row: keys of a, of b and of both, complete rows and non-null values of each."""
+
+    def counted(df: DataFrame, s: str) -> DataFrame:
+        full = F.lit(True)
+        for c in complete:
+            full = full & F.col(c).isNotNull()
+        return df.agg(F.count_distinct(key).alias(f"keys_{s}"), F.count_if(full).alias(f"complete_{s}"), *[F.count(v).alias(f"{v}_{s}") for v in values])
+
+    both = a.select(key).intersect(b.select(key)).agg(F.count(F.lit(1)).alias("keys_both"))
+    # Three tables of one row each, side by side.
+    one = lambda df: df.withColumn("__one", F.lit(1))
+    return one(counted(a, "a")).join(one(counted(b, "b")), "__one").join(one(both), "__one").drop("__one")
+
+
+def diversity(df: DataFrame, lists: list[str]) -> DataFrame:
+    """(value) distinct over several list columns, null lists counting as empty."""
+    empty = F.array().cast("array<string>")
+    every = F.concat(*[F.coalesce(F.col(c).cast("array<string>"), empty) for c in lists])
+    return df.select(F.explode(F.array_distinct(every)).alias("value")).distinct()
+
+
+def all_matched(df: DataFrame, key: str, value: str, names: list[str]) -> DataFrame:
+    """Keys in which every row with a value has all names."""
+    full = F.lit(True)
+    for n in names:
+        full = full & F.col(n).isNotNull()
+    return df.groupBy(key).agg(F.every(F.col(value).isNull() | full).alias("__ok")).filter("__ok").select(key)

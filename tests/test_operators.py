@@ -123,3 +123,26 @@ def test_perfect_and_split(spark):
     s = sampling.split(spark.range(1000), "id", 0.5, 0.2, 100, 50)
     n = {r.split: r["count"] for r in s.groupBy("split").count().collect()}
     assert n == {"train": 100, "val": 50, "test": 850}
+
+
+def test_small_tables(spark):
+    from assayline.operators.objectives import number_sets
+
+    a = spark.createDataFrame([(1, x) for x in (1.0, 3.0, 7.0, 8.0, 1000.0)], "k long, v double")
+    b = spark.createDataFrame([(1, float(x)) for x in (1, 2, 6, 7, 8, 9, 10)], "k long, v double")
+    got = joins.matched_numbers(a, b, "k", "v", number_sets()).collect()
+    assert len(got) == 7 and {(r.value_1, r.value_2) for r in got} >= {(1.0, 1.0), (7.0, 7.0), (8.0, 8.0)}
+    d = spark.createDataFrame([("p", 3, "Adh"), ("p", 1, "adh"), ("p", 5, "x"), ("q", 2, "only")], "pmid string, distance int, enzyme_name string")
+    rows = spark.createDataFrame([("p", "ADH", None), ("p", "zz", "X"), ("q", "zz", None), ("r", "a", None)], "pmid string, enzyme string, short_name string")
+    assert sorted((r.pmid, r.enzyme, r.distance) for r in joins.join_distances(rows, d).collect()) == [("p", "ADH", 1), ("p", "zz", 5), ("q", "zz", 2), ("r", "a", None)]
+    t = spark.createDataFrame([("A", "x", 1), ("a", "y", 2)], "n string, v string, o int")
+    assert joins.last_wins(spark.createDataFrame([("a",), ("b",)], "k string"), t, "k", "n", "v", "o").orderBy("k").collect()[0].v == "y"
+    assert joins.first_ignoring_case(t, "n", [], F.asc("o")).first().n == "A"
+    names = spark.createDataFrame([("s", "full", None, "t")], "e string, e_full string, e_full_2 string, e_2 string")
+    assert {tuple(r) for r in joins.two_sided_names(names, "e", "e_full").collect()} == {("full", "s"), ("t", None)}
+    c = metrics.compare_tables(a, b, "k", ["v"], ["v"]).first()
+    assert (c.keys_both, c.complete_a, c.v_b) == (1, 5, 7)
+    lists = spark.createDataFrame([(["a"], None), (["b"], ["a"])], "x array<string>, y array<string>")
+    assert {r.value for r in metrics.diversity(lists, ["x", "y"]).collect()} == {"a", "b"}
+    m = spark.createDataFrame([("k", 1.0, "n"), ("k", None, None), ("l", 1.0, None)], "k string, v double, n string")
+    assert [r.k for r in metrics.all_matched(m, "k", "v", ["n"]).collect()] == ["k"]
