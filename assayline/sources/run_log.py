@@ -19,7 +19,7 @@ PATHS = ["batch_fpath", "corresp_fpath", "completion_fpath"]
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """A missing log is empty; a stored prefix is put before the paths again."""
+    """A missing log is empty; a prefix stored in a column _..._prefix is put before the paths again."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
         return spark.createDataFrame([], SCHEMA)
@@ -29,10 +29,10 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
         raw = spark.read.parquet(path)
     else:
         raise ValueError(f"a log is .tsv or .parquet, not {path}")
+    stored = next((c for c in raw.columns if c.startswith("_") and c.endswith("_prefix")), None)
     raw = spark.createDataFrame([], SCHEMA).unionByName(raw.withColumns({f.name: F.col(f.name).cast(f.dataType) for f in SCHEMA if f.name in raw.columns}), allowMissingColumns=True)
-    if "_enzy_prefix" in raw.columns:
-        prefix = F.coalesce("_enzy_prefix", F.lit(""))
-        raw = raw.withColumns({c: F.concat(prefix, F.col(c)) for c in PATHS}).drop("_enzy_prefix")
+    if stored:
+        raw = raw.withColumns({c: F.concat(F.coalesce(stored, F.lit("")), F.col(c)) for c in PATHS})
     return raw.select(*SCHEMA.names)
 
 
