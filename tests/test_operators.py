@@ -146,3 +146,14 @@ def test_small_tables(spark):
     assert {r.value for r in metrics.diversity(lists, ["x", "y"]).collect()} == {"a", "b"}
     m = spark.createDataFrame([("k", 1.0, "n"), ("k", None, None), ("l", 1.0, None)], "k string, v double, n string")
     assert [r.k for r in metrics.all_matched(m, "k", "v", ["n"]).collect()] == ["k"]
+
+
+def test_weighted_match_covers_every_order(spark):
+    from assayline.plans import catalogue
+
+    sf = "/root/testdata/sf0.001"
+    lines = {r[0]: r[1] for r in spark.read.parquet(f"{sf}/lineitem.parquet").groupBy("l_orderkey").count().collect()}
+    got = catalogue.weighted_match(spark, sf).select("pmid", "objective").collect()
+    assert {r.pmid for r in got} == set(lines) and len(got) == sum(lines.values())
+    # A line against itself reaches organism, enzyme, mutant, substrate and kinetic in full.
+    assert all(r.objective >= 19990 for r in got)
