@@ -152,26 +152,19 @@ def page_text(words: DataFrame, page: list[str], number: str = "wordno", word: s
 def similar_names(queries: DataFrame, names: DataFrame, query: str, name: str, n: int = 5, least: float = 50.0) -> DataFrame:
     """(query, name, similarity): case-insensitive hits with 100, else the n most similar names, those over `least`.
 
-    Candidates share a character trigram and have lengths that allow the ratio (2 min / (a + b)), so no cross join; a name
-    below 3 characters is found by its whole spelling only.
+    Every name is scored whose length allows the ratio (2 min / (a + b)): a common subsequence needs no common trigram, so
+    no key finds them all. The work is queries times names; both are distinct first.
     """
     q = queries.select(F.col(query).alias("query")).filter(F.col("query").isNotNull()).distinct().withColumn("__q", F.lower("query"))
     d = names.select(F.col(name).alias("name")).filter(F.col("name").isNotNull()).distinct().withColumn("__d", F.lower("name"))
     exact = q.join(d, F.col("__q") == F.col("__d")).select("query", "name", F.lit(100.0).alias("similarity"))
     rest = q.join(exact.select("query").distinct(), "query", "left_anti")
-
-    def grams(c: str) -> Column:
-        k = F.char_length(c)
-        return F.when(k > 2, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(k - 2, F.lit(1))), lambda i: F.substring(F.col(c), i, F.lit(3))))).otherwise(F.array(F.col(c)))
-
-    a = rest.select("query", "__q", F.explode(grams("__q")).alias("__g"))
-    b = d.select("name", "__d", F.explode(grams("__d")).alias("__g"))
     la, lb = F.char_length("__q"), F.char_length("__d")
-    # The ratio needs 2 LCS / (a + b): sharing few trigrams of many can't reach `least` only for short texts, so keep all that meet.
-    pairs = a.join(b, "__g").filter(200.0 * F.least(la, lb) / (la + lb) > least).select("query", "__q", "name", "__d").distinct()
-    scored = pairs.withColumn("similarity", ratio("__q", "__d"))
+    # The longest common subsequence is at most the shorter text.
+    pairs = rest.join(d, 200.0 * F.least(la, lb) > F.lit(float(least)) * (la + lb))
+    scored = pairs.withColumn("similarity", ratio("__q", "__d")).filter(F.col("similarity") > least)
     w = Window.partitionBy("query").orderBy(F.desc("similarity"), "name")
-    top = scored.withColumn("__r", F.row_number().over(w)).filter((F.col("__r") <= n) & (F.col("similarity") > least)).select("query", "name", "similarity")
+    top = scored.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= n).select("query", "name", "similarity")
     return exact.unionByName(top)
 
 

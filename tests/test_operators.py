@@ -106,6 +106,20 @@ def test_similar_names(spark):
     assert got[("GLUCOSE", "glucose")] == 100.0 and got[("glucos", "glucose")] > 90 and not any(k[0] == "zz" for k in got)
 
 
+def test_similar_names_against_brute_force(spark):
+    from assayline.functions.fuzzy import indel_ratio
+
+    p = spark.read.parquet("/root/testdata/sf0.01/part.parquet")
+    asked = sorted({r[0] for r in p.filter("p_partkey % 20 = 0").select("p_name").collect()})
+    known = sorted({r[0] for r in p.select("p_type").collect()} | {"ab", "gear"})
+    got = joins.similar_names(spark.createDataFrame([(x,) for x in asked], "q string"), spark.createDataFrame([(x,) for x in known], "n string"), "q", "n", 5, 30.0)
+    want = set()
+    for x in asked:
+        scored = sorted((-indel_ratio(x.lower(), y.lower()), y) for y in known)
+        want |= {(x, y, -v) for v, y in scored[:5] if -v > 30}
+    assert {tuple(r) for r in got.collect()} == want and ("blue gear", "LARGE") in {k[:2] for k in want}
+
+
 def test_checks(spark):
     df = spark.createDataFrame([("a", "a", "10^3", "1", "p"), ("b", None, None, None, "p"), ("123", None, "1", "2", "q")], "substrate string, substrate_full string, kcat string, km string, pmid string")
     assert [r.substrate_full for r in validation.null_repeated_full(df, ["substrate"]).collect()] == [None, None, None]
