@@ -1,9 +1,10 @@
 """Benchmark decontamination by the q-gram lemma.
 
-Documents and benchmark items are reduced to lower-case letters and digits with single spaces. If L characters of an item
+Documents and benchmark items are reduced to lower-case letters and digits with single spaces. A window of an item is any 13
+words in a row or any 100 characters in a row, or the whole item if it has fewer. If the L characters of a window
 occur in a document with at most k edits, they share at least L + 1 - q(k + 1) q-grams whose positions differ by
-nearly the same amount. Shared q-grams are therefore counted in overlapping bands of diagonals; bands that reach
-the bound are verified by an alignment that is confined to the band.
+nearly the same amount. Shared q-grams are therefore counted in overlapping bands of diagonals; in bands that reach
+the bound, every window that reaches its own is verified by an alignment that is confined to the band.
 """
 
 from __future__ import annotations
@@ -66,10 +67,12 @@ def gram_hashes(chars: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Index:
-    """A block of benchmark items. window: characters that must match; edits: share of them that may differ."""
+    """A block of benchmark items. words, window: words or characters in a row that must match; edits: share of the characters
+    that may differ."""
 
     ids: list
     items: list[np.ndarray]
+    words: int = 13
     window: int = 100
     edits: float = 0.06
     band: int = 32
@@ -85,12 +88,23 @@ class Index:
         self.first = np.append(first, h.size)
         self.bits = np.zeros(1 << 22, dtype=bool)
         self.bits[(self.hashes >> np.uint64(42)).astype(np.int64)] = True
-        size = np.array([x.size for x in self.items], dtype=np.int64)
-        self.length = np.minimum(size, self.window)
-        k = np.floor(self.length * self.edits).astype(np.int64)
-        # Short items: as many edits as leave a shared q-gram sure.
-        self.k = np.maximum(0, np.minimum(k, (self.length // Q) - 1))
-        self.bound = self.length + 1 - Q * (self.k + 1)
+        # The least q-grams that a window of the item shares: what a band must have.
+        self.bound = np.array([self._windows(x)[3].min() for x in self.items], dtype=np.int64)
+
+    def _windows(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(start, length, edits, q-grams that must be shared) of each window of an item, by start and length."""
+        first = np.flatnonzero(np.append(True, x[:-1] == 32))
+        last = np.append(first[1:] - 1, x.size)
+        n = first.size - self.words + 1
+        size = min(x.size, self.window)
+        starts = np.arange(x.size - size + 1)
+        both = np.stack([starts, np.full(starts.size, size)], axis=1)
+        if n > 0:
+            both = np.concatenate([both, np.stack([first[:n], last[self.words - 1 :] - first[:n]], axis=1)])
+        start, length = np.unique(both, axis=0).T
+        # Short windows: as many edits as leave a shared q-gram sure.
+        k = np.maximum(0, np.minimum(np.floor(length * self.edits).astype(np.int64), length // Q - 1))
+        return start, length, k, length + 1 - Q * (k + 1)
 
     def search(self, texts: list[str]) -> list[tuple[int, int, int, int, int]]:
         """(number of the text, number of the item, start, end, edits): the first window that holds, for each text and item."""
@@ -136,21 +150,62 @@ class Index:
         return [(t, it, *v) for (t, it), v in found.items()]
 
     def _verify(self, doc: np.ndarray, item: int, i: np.ndarray, j: np.ndarray) -> tuple[int, int, int] | None:
-        """The first window of the item that aligns with at most k edits near the band's diagonals."""
-        x, size, k, need = self.items[item], int(self.length[item]), int(self.k[item]), int(self.bound[item])
-        step = max(1, size // 4)
+        """The first window of the item that aligns within its edits near the band's diagonals."""
+        x = self.items[item]
+        start, length, k, need = self._windows(x)
+        below = np.append(0, np.cumsum(np.bincount(j, minlength=x.size)))
+        some = below[start + length - Q + 1] - below[start] >= need
+        start, length, k = start[some], length[some], k[some]
         low, high = int((i - j).min()), int((i - j).max())
-        for w in sorted({*range(0, x.size - size, step), x.size - size}):
-            inside = int(((j >= w) & (j + Q <= w + size)).sum())
-            # The windows overlap; one that is itself within the budget shares `need` q-grams.
-            if inside < need:
-                continue
-            got = banded(x[w : w + size], doc, w + low - k, w + high + k, k)
-            if got is not None:
-                return got
+        at, count = 0, 1
+        while at < start.size:
+            part = slice(at, at + count)
+            most = int(k[part].max())
+            ok = np.flatnonzero(least_edits(x, doc, start[part], length[part], low - most, high + most, most) <= k[part])
+            if ok.size:
+                w, size = int(start[part][ok[0]]), int(length[part][ok[0]])
+                return banded(x[w : w + size], doc, w + low - most, w + high + most, most)
+            at, count = at + count, min(4 * count, 256)
         return None
 
 
+def least_edits(x: np.ndarray, doc: np.ndarray, start: np.ndarray, length: np.ndarray, low: int, high: int, k: int) -> np.ndarray:
+    """For each window of x the edits of the best alignment that `banded` would find between start + low and start + high;
+    over k if there is none within k."""
+    big = 1 << 14
+    width = high - low + 2 * k + 1
+    out = np.full(start.size, big)
+    live = np.arange(start.size)
+    at = np.arange(width)
+    lo = start + low - k
+    # Outside the document stand characters that nothing equals; entering them costs too much.
+    base, end = int(lo.min()), int((lo + length).max()) + width
+    padded = np.full(end - base + 1, 0xFFFFFFFF, dtype=np.uint32)
+    a, b = max(0, base), min(doc.size, end)
+    if a < b:
+        padded[a - base : b - base] = doc[a:b]
+    cell = lo[:, None] + at
+    cost = np.where((cell >= 0) & (cell <= doc.size), 0, big).astype(np.int32)
+    ramp = at.astype(np.int32)
+    for r in range(int(length.max())):
+        p = cell + r
+        step = cost + (padded[p - base] != x[start + r][:, None])
+        step[(p < 0) | (p >= doc.size)] = big
+        skip = np.empty_like(cost)
+        skip[:, :-1] = cost[:, 1:] + 1
+        skip[:, -1] = big
+        cost = np.minimum.accumulate(np.minimum(step, skip) - ramp, axis=1) + ramp
+        best = cost.min(axis=1)
+        ended = length == r + 1
+        out[live[ended]] = best[ended]
+        keep = ~ended & (best <= k)
+        if not keep.all():
+            live, start, length, cell, cost = live[keep], start[keep], length[keep], cell[keep], cost[keep]
+            if not live.size:
+                break
+    return out
+
+
 def banded(pattern: np.ndarray, doc: np.ndarray, first: int, last: int, k: int) -> tuple[int, int, int] | None:
     """(start, end, edits) of the best alignment of the whole pattern that starts in doc between first and last, within
     diagonals first - k to last + k; None if it takes more than k edits."""

@@ -235,3 +235,30 @@ def test_decontamination(spark, docs, none):
     assert {r.doc_id for r in decontam.without_contaminated(df, items).collect()} == {r.doc_id for r in df.collect()} - {900, 901, 903}
     assert {(r.doc_id, r.item_id) for r in decontam.matches(df, items, block_bytes=64).collect()} == {(900, 1), (901, 1), (903, 1)}
     assert decontam.matches(none, items).count() == 0 and decontam.matches(df, items.limit(0)).count() == 0
+
+
+def test_decontamination_finds_passages_anywhere():
+    """Any 13 words or 100 characters of an item, exact or with a few edits; 8 words are no passage."""
+    import numpy as np
+
+    from tests.llm.conftest import sentence
+
+    items = [sentence(3000 + i, 40) for i in range(6)]
+    index = decontam.Index(list(range(6)), [decontam.reduced([t])[0] for t in items])
+    rng, docs, want = np.random.default_rng(5), [], set()
+    for n in range(120):
+        t, words = items[n % 6], items[n % 6].split()
+        if n % 3 == 0:
+            w = int(rng.integers(0, len(t) - 100))
+            part = t[w : w + 100]
+        else:
+            w = int(rng.integers(0, len(words) - 13))
+            part = " ".join(words[w : w + 13])
+            if n % 3 == 2:
+                part = part[:20] + "#" + part[21:50] + "qq" + part[51:]
+        docs.append(f"{sentence(n, 15)} zz {part.strip()} zz {sentence(9000 + n, 15)}")
+        want.add((n, n % 6))
+    docs += [f"{sentence(n, 15)} zz {' '.join(items[n].split()[5:13])} zz" for n in range(6)]
+    assert {g[:2] for g in index.search(docs)} == want
+    for text, item, lo, hi, edits in index.search(docs):
+        assert edits <= 6 and 0 <= lo < hi <= len(docs[text])
