@@ -153,17 +153,21 @@ def disclosing_terms(docs: DataFrame, policy: Policy = Policy(), text_col: str =
 
         for batch in batches:
             for part in slices(batch, "__text"):
-                found: list[tuple[str, str, int]] = []
+                found: list[tuple[str, str, int, int]] = []
                 for text in part.column("__text").to_pylist():
-                    per: dict[tuple[str, str], int] = {}
+                    per: dict[tuple[str, str], set[int]] = {}
                     for entity, term, seen in here.contexts(text, window):
-                        per.setdefault((entity, term), seen)
-                    found += [(e, t, s) for (e, t), s in per.items()]
-                yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], kind) for k, kind in enumerate((pa.string(), pa.string(), pa.int64()))], ["entity", "term", "seen"])
+                        per.setdefault((entity, term), set()).add(seen)
+                    # The document itself counts with the first of its windows.
+                    found += [(e, t, s, int(k == 0)) for (e, t), some in per.items() for k, s in enumerate(some)]
+                    if len(found) > 100_000:
+                        yield here.pair_rows(found)
+                        found = []
+                yield here.pair_rows(found)
 
     near = (
-        rows.mapInArrow(pairs, "entity string, term string, seen bigint")
-        .groupBy("entity", "term", "seen").agg(F.count(F.lit(1)).alias("n"))
+        rows.mapInArrow(pairs, "entity string, term string, seen bigint, n bigint")
+        .groupBy("entity", "term", "seen").agg(F.sum("n").alias("n"))
         .groupBy("entity", "term").agg(F.sum("n").alias("n_pair"), F.count(F.lit(1)).alias("contexts"))
         .filter((F.col("contexts") >= policy.contexts) | (F.col("term") == ""))
     )
@@ -205,6 +209,11 @@ def disclosing_terms(docs: DataFrame, policy: Policy = Policy(), text_col: str =
     )
 
 
+def pair_rows(found: list[tuple[str, str, int, int]]) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.string(), pa.int64(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], kind) for k, kind in enumerate(kinds)], ["entity", "term", "seen", "n"])
+
+
 def count_terms(texts: list[str], into: Counter) -> None:
     """Adds one for each text's distinct terms and classes."""
     for text in texts:

@@ -137,6 +137,15 @@ def test_disclosing_terms(leaky, block):
     assert "zanzibarproject" not in clean[5001] and "[EMAIL]" in clean[1000] and clean[1].startswith("note1 common") and clean[5000] == "" and clean[None] is None
 
 
+def test_every_window_of_a_document_counts(spark):
+    """Four windows in one document are four contexts of one document; a repeated window is one."""
+    line = "about{0}x zanzibarproject common {0}side boss@corp.example.com wrote{0}z finally{0}y again{0}w and{0}v then{0}u until{0}t over{0}s more{0}r"
+    out = [(i, f"note{i} common filler words go here") for i in range(50)]
+    out += [(100, " ".join(line.format(x) for x in ("qwe", "rty", "uio", "asd"))), (101, " ".join([line.format("cv").replace("zanzibarproject", "timbuktuplan").replace("boss@", "mate@")] * 4))]
+    terms = {r.term: r for r in pii.disclosing_terms(spark.createDataFrame(out, "doc_id long, text string")).collect()}
+    assert terms["zanzibarproject"].n_pair == 1 and "common" not in terms
+
+
 def test_pii_edges(docs, rows, none):
     got = {r.doc_id: r for r in pii.find(docs).collect()}
     assert set(got) == {i for i, _ in rows} and got[400].base_sha256 == hashlib.sha256(b"").hexdigest()
