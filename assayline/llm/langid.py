@@ -1,8 +1,8 @@
 """Language proportions of documents: expectation-maximisation over character n-gram likelihoods.
 
 A document is a mixture of languages; each of its letter trigrams comes from one of them. EM estimates the proportions,
-for one language, then two, and so on; a further language stays only if it lowers the penalised likelihood (BIC with
-a weight for the overlap of trigrams).
+for one language, then two, and so on; the number with the best penalised likelihood (BIC with a weight for the overlap
+of trigrams) wins. A document's search ends only when a bound on the likelihood of any mixture shows that no larger number can win.
 """
 
 from __future__ import annotations
@@ -62,7 +62,6 @@ class Mixture:
     langs: list[str]
     log_p: np.ndarray
     penalty: float = 3.0
-    most: int = 4
     steps: int = 8
 
     @classmethod
@@ -79,7 +78,8 @@ class Mixture:
         n_buckets = self.log_p.shape[0]
         if not self.langs:
             return [[] for _ in texts]
-        per = max(1, (1 << 22) // n_buckets)
+        # Fewer texts at a time where the table is wide.
+        per = max(1, (1 << 24) // (n_buckets * max(4, len(self.langs))))
         for at in range(0, len(texts), per):
             out += self._infer(texts[at : at + per], n_buckets)
         return out
@@ -103,23 +103,30 @@ class Mixture:
             p_all = np.exp(log_p - log_p.max(axis=1, keepdims=True))
             top = log_p.max(axis=1)
             # The order of languages to try comes from the full mixture, not from single likelihoods.
-            theta, _ = self._em(p_all, top, n, first, total, np.full_like(single, 1 / single.shape[1]))
+            theta, ll, gain = self._em(p_all, top, n, first, total, np.full_like(single, 1 / single.shape[1]))
             order = np.argsort(-theta, axis=1, kind="stable")
+            # The likelihood is concave in the proportions: no mixture exceeds this one by more than the best direction's gain.
+            most = ll + total * np.log(np.maximum(gain, 1.0))
+            # k - 1 free proportions; overlapping trigrams are not independent, hence the weight.
+            per_language = self.penalty * 2 * np.log(np.maximum(total, 2)) * 2
             lens = np.diff(np.append(first, n.size))
-            for k in range(2, min(self.most, len(self.langs)) + 1):
+            for k in range(2, len(self.langs) + 1):
+                live = live[-2 * most[live] + per_language[live] * (k - 1) < cost[live]]
+                if not live.size:
+                    break
                 pick = np.repeat(np.isin(np.arange(docs.size), live), lens)
-                start = np.zeros((live.size, len(self.langs)))
-                start[np.arange(live.size)[:, None], order[live, :k]] = 1 / k
                 f = np.append(0, np.cumsum(lens[live])[:-1])
-                theta, ll = self._em(p_all[pick], top[pick], n[pick], f, total[live], start)
-                # k - 1 free proportions; overlapping trigrams are not independent, hence the weight.
-                c = -2 * ll + self.penalty * (k - 1) * 2 * np.log(np.maximum(total[live], 2)) * 2
+                some = p_all[pick] if k == len(self.langs) else np.take_along_axis(p_all[pick], np.repeat(order[live, :k], lens[live], axis=0), axis=1)
+                theta, ll, _ = self._em(some, top[pick], n[pick], f, total[live], np.full((live.size, some.shape[1]), 1 / k))
+                c = -2 * ll + per_language[live] * (k - 1)
                 better = c < cost[live]
-                best[live[better]] = theta[better]
-                cost[live[better]] = c[better]
-                live = live[better]
-                if not live.size:
-                    break
+                won = live[better]
+                best[won] = 0.0
+                if k == len(self.langs):
+                    best[won] = theta[better]
+                else:
+                    best[won[:, None], order[won, :k]] = theta[better]
+                cost[won] = c[better]
             shares[docs] = best
         out = []
         for k in range(len(texts)):
@@ -129,13 +136,15 @@ class Mixture:
         return out
 
     def _em(self, p, top, n, first, total, theta):
+        """(proportions, log likelihood, largest factor by which a further step would raise a proportion) of each text."""
         lens = np.diff(np.append(first, n.size))
         theta = theta.astype(np.float32)
         for step in range(self.steps + 1):
             w = p * np.repeat(theta, lens, axis=0)
             s = np.maximum(w.sum(axis=1), 1e-30)
             if step == self.steps:
-                return theta.astype(np.float64), np.add.reduceat((np.log(s) + top) * n, first).astype(np.float64)
+                gain = (np.add.reduceat(p * (n / s)[:, None], first, axis=0) / total[:, None]).max(axis=1)
+                return theta.astype(np.float64), np.add.reduceat((np.log(s) + top) * n, first).astype(np.float64), gain.astype(np.float64)
             w *= (n / s)[:, None]
             theta = (np.add.reduceat(w, first, axis=0) / total[:, None]).astype(np.float32)
 
@@ -146,24 +155,27 @@ def held_out(id_col: str) -> Column:
 
 
 def fit_mixture(
-    docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_lang: int = 2000, max_langs: int = 256, n_buckets: int = 1 << 14
+    docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_lang: int = 2000, n_buckets: int = 1 << 14
 ) -> Mixture:
     """Learns from labelled rows that aren't held out.
 
-    At most max_langs languages (the most frequent) and about per_lang rows of each, chosen by a hash of the id, are
-    read closely: the model's documented bound. Tasks send one count vector per language.
+    Every language is learned, from about per_lang rows of it chosen by a hash of the id: the model's documented bound.
+    Tasks send one count vector per language.
     """
     labelled = docs.filter(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    sizes = labelled.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(max_langs).collect()
+    sizes = [(r["lang"], per_lang / r["count"]) for r in labelled.groupBy(F.col(lang_col).alias("lang")).count().toLocalIterator()]
     if not sizes:
         return Mixture.fit({})
-    rate = F.create_map(*[F.lit(x) for r in sizes for x in (r[lang_col], per_lang / r["count"])])[F.col(lang_col)]
+    rates = F.broadcast(docs.sparkSession.createDataFrame(sizes, "__lang string, __rate double"))
     unit = F.shiftrightunsigned(F.xxhash64(F.lit("language"), F.col(id_col)), 11) / F.lit(float(1 << 53))
-    sample = labelled.filter(unit < rate).select(F.col(text_col).alias("__text"), F.col(lang_col).alias("__lang")).repartition(16)
+    sample = labelled.select(F.col(text_col).alias("__text"), F.col(lang_col).alias("__lang"), unit.alias("__unit")).join(rates, "__lang").filter("__unit < __rate").select("__text", "__lang").repartition(16)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from assayline.llm import langid as here
 
+        def sent() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([v.astype("<i8").tobytes() for v in sums.values()], pa.binary())], ["lang", "counts"])
+
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             for part in slices(batch, "__text"):
@@ -173,7 +185,10 @@ def fit_mixture(
                 dense = np.bincount(code[row] * n_buckets + bucket, minlength=len(names) * n_buckets).reshape(-1, n_buckets)
                 for name, v in zip(names, dense):
                     sums[name] = sums.get(name, 0) + v
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([v.astype("<i8").tobytes() for v in sums.values()], pa.binary())], ["lang", "counts"])
+                if len(sums) > 256:
+                    yield sent()
+                    sums = {}
+        yield sent()
 
     total: dict[str, np.ndarray] = {}
     for r in sample.mapInArrow(count, "lang string, counts binary").toLocalIterator():
@@ -186,7 +201,7 @@ def predict(docs: DataFrame, model: Mixture, id_col: str = "doc_id", text_col: s
 
     A null text or one without a letter gives `und` and 0; so does a model that has learned nothing.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # max_langs x buckets, a fixed bound
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # languages x buckets
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

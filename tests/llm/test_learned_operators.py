@@ -29,6 +29,28 @@ def test_language_mixtures(spark, docs, none):
     assert langid.predict(docs.limit(2), langid.fit_mixture(none)).select("lang_pred").distinct().collect()[0][0] == "und"
 
 
+def invented(lang: int, n: int) -> str:
+    """Words over two consonants and two vowels of their own."""
+    c, v = "bcdfghjklmnpqrstvwxz"[lang % 20 :] + "bcdfghjklmnpqrstvwxz"[: lang % 20], "aeiouyäöüéè"
+    w = [c[0], v[lang // 20 % 11], c[3], v[(lang // 20 + 1 + lang % 3) % 11]]
+    return " ".join(w[i % 4] + w[(i // 4) % 4] + w[(i // 16) % 4] + w[(i + i // 5) % 4] for i in range(n))
+
+
+def test_more_than_four_languages_in_one_text():
+    names = [f"l{k}" for k in range(7)]
+    counts = {x: np.bincount(langid.trigrams([invented(k, 200)], 1 << 14)[1], minlength=1 << 14) for k, x in enumerate(names)}
+    got = langid.Mixture.fit(counts).infer([" ".join(invented(k, 120) for k in range(6)), invented(2, 120)])
+    assert {k for k, v in got[0] if v > 0.05} == set(names[:6]) and got[0][0][1] < 0.3
+    assert got[1][0] == ("l2", 1.0)
+
+
+def test_every_language_is_learned(spark):
+    rows = [(10 * k + i, invented(k % 200, 30), f"l{k}") for k in range(300) for i in range(6)]
+    model = langid.fit_mixture(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    want = {r.lang for r in spark.createDataFrame(rows, "doc_id long, text string, lang string").filter(~langid.held_out("doc_id")).select("lang").distinct().collect()}
+    assert len(want) > 256 and set(model.langs) == want
+
+
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic")
