@@ -55,41 +55,82 @@ def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic")
     rows = queries.op8_toxicity(spark, sf).join(labels, "doc_id").join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id").filter("held_out").collect()
-    english = [r for r in rows if r.lang == "en"]
-    # The labels carry noise in both directions; insults in English are plain words.
-    assert sum(r.predicted for r in english if r.toxic) > 0.85 * sum(r.toxic for r in english)
-    assert sum(r.predicted for r in rows if not r.toxic) < 0.02 * len(rows)
+    # The labels carry noise in both directions.
+    for langs, least in ({"en"}, 0.9), ({"de", "fr", "es"}, 0.5):  # 62 documents in the three together
+        toxic = [r.predicted for r in rows if r.toxic and r.lang in langs]
+        assert toxic and sum(toxic) >= least * len(toxic), (langs, sum(toxic), len(toxic))
+    assert sum(r.predicted for r in rows if not r.toxic) < 0.01 * len(rows)
 
 
-def brute_kernel(s, t, p=3, decay=0.7):
-    maps = []
-    for w in (s, t):
-        m = {}
-        for ix in itertools.combinations(range(len(w)), p):
-            k = "".join(w[i] for i in ix)
-            m[k] = m.get(k, 0) + decay ** (ix[-1] - ix[0] + 1)
-        maps.append(m)
-    return sum(v * maps[1].get(k, 0) for k, v in maps[0].items())
+def brute_features(form, decay):
+    """Subsequences of three characters with decay to the characters skipped at their tightest place, in characters' classes."""
+    out = {}
+    c = toxicity._classes()
+    for ix in itertools.combinations(range(len(form)), 3):
+        u = tuple(int(c[ord(form[i])]) for i in ix)
+        out[u] = max(out.get(u, 0.0), decay ** (ix[-1] - ix[0] - 2))
+    return out
 
 
-def test_subsequence_kernel():
-    for a, b in (("idiot", "id-iot"), ("worthless", "worthxless"), ("banana", "bandana"), ("abc", "xyz")):
-        got = toxicity.subsequence_kernel(toxicity.padded([a]), np.array([[ord(c) for c in b]], dtype=np.uint32))[0]
-        assert abs(got - brute_kernel(a, b)) < 1e-9
-    assert toxicity.in_order(toxicity.padded(["xmyoron", "mrn"]), np.array([ord(c) for c in "moron"], dtype=np.uint32)).tolist() == [5, 3]
+def brute_kernel(s, t, decay=0.9, power=4):
+    a, b = brute_features(s, decay), brute_features(t, decay)
+    norm = (sum(v * v for v in a.values()) * sum(v * v for v in b.values())) ** 0.5
+    return (sum(v * b.get(k, 0.0) for k, v in a.items()) / norm) ** power if norm else 0.0
 
 
-def test_gapped_insults():
+def test_subsequence_kernel():
+    words = ["^idiot", "^idxiot", "^worthless", "^banana", "^bandana", "^aaaa", "^日本語です", "^" + "abcdefghijklmnopqrstuvw", "^id", "^xyzzy"]
+    model = toxicity.StringKernelSvm(words)
+    k = model.matrix(words)
+    assert np.allclose(k, [[brute_kernel(a, b) for b in words] for a in words], atol=1e-9)
+    assert np.linalg.eigvalsh(k).min() > -1e-9 and np.allclose(k, k.T)
+    assert toxicity.forms("ab") == [] and toxicity.forms("I-d.i_ot!") == ["^Idiot"] and all(len(f) <= 24 for f in toxicity.forms("ab" * 100))
+
+
+def brute_raw(model, text):
+    """The highest sentence, word by word."""
+    best = None
+    for line in text.lower().split("\n"):
+        sentence, run = [], []
+        for w in [*line.split(), None]:
+            if run and (w is None or len(w) != 1 or len(sentence) == 32 or sentence[-1][-1] in ".!?"):
+                if len(run) >= 3:
+                    sentence.append("".join(run))
+                run = []
+            if sentence and (w is None or len([x for x in sentence]) >= 32 or sentence[-1][-1] in ".!?"):
+                gain = sum(sum(brute_kernel(f, m, model.decay, model.power) * x for m, x in zip(model.landmarks, model.weights)) for s in sentence for f in toxicity.forms(s))
+                best = gain if best is None else max(best, gain)
+                sentence = []
+            if w is not None:
+                sentence.append(w)
+                if len(w) == 1:
+                    run.append(w)
+    return (best or 0.0) + model.bias
+
+
+def gapped_model():
     texts = [f"some plain words number{i} about weather{i % 7} today" for i in range(300)]
     labels = [0] * 300
     for i in range(60):
         texts.append(f"you person{i} blockhead{'' if i % 2 else '!'} again{i % 9} and so. fine words here")
         labels.append(1)
-    model = toxicity.train(texts, labels)
+    return toxicity.train(texts, labels)
+
+
+def test_gapped_insults():
+    model = gapped_model()
     s = model.score(["a blockhead there", "a block-head there", "b l o c k h e a d", "a blxockhead there", "plain weather words", "", "z" * 5000])
     assert min(s[:4]) > 0.7 and max(s[4:]) < 0.3
 
 
+def test_scores_equal_brute_force():
+    model = gapped_model()
+    texts = ["a blockhead there. plain weather!\nyou b l o c k h e a d", "x y z words. q", "", " \n ", "number1 " * 70 + "blockhead", "w" * 60 + " so", "fine words here. fine words here."]
+    assert np.allclose(model.raw(texts), [brute_raw(model, t) for t in texts], atol=1e-6)
+    long = "plain words about weather. " * 60_000 + "you blockhead again"
+    assert model.score([long])[0] == model.score(["you blockhead again"])[0] > 0.7
+
+
 def test_toxicity_edges(spark, docs, rows, none):
     labels = spark.createDataFrame([(0, 1), (0, 0), (1, None), (None, 1), (2, 0)], "doc_id long, toxic int")
     model = toxicity.fit(docs, labels)
