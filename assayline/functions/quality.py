@@ -33,6 +33,16 @@ def identifier_problems(asked: Column, answered: Column, golden: Column) -> Colu
     ))
 
 
+#: The beginning of an outdated question without documents, and what replaces it.
+EMPTY_QUESTION = "No yaml available. Construct from scratch!\n```yaml\ncontext:\n    null\ndata:\n    null\n"
+NEW_EMPTY_QUESTION = "No yaml available. Construct the output yaml directly.\n```yaml\ncontext:\nnull\ndata:\nnull\n```                    \n"
+
+
+def finetune_check(question: Column, answer: Column) -> Column:
+    """struct(question, problems) of a fine-tuning example: an outdated empty question is replaced, the answer gets the answers' rules."""
+    return F.struct(F.when(question.contains(EMPTY_QUESTION), F.lit(NEW_EMPTY_QUESTION)).otherwise(question).alias("question"), answer_problems(answer).alias("problems"))
+
+
 def explode_problems(answer: Column) -> Column:
     """A resolved answer with no block, a wild type or an organism in the enzyme's name, or a buffer among cofactors."""
     text = F.array_join(yaml_blocks(answer), "\n")

@@ -71,6 +71,34 @@ def nearest_hit(sequence: str | None, codes: list[tuple[str, int, str | None]],
     return (min(hits, key=lambda h: (abs(h - p[1]), h)), p[1]) if hits else None
 
 
+def nearest_set_hit(sequence: str | None, wanted: dict[int, str], start: int) -> tuple[int | None, int]:
+    """(index, target), both from 0: where the letters allowed at each position stand in a row, nearest to their own place;
+    of equally near hits the first."""
+    if not wanted or not sequence:
+        return None, -1
+    target, span = start - 1, max(wanted) - start
+    hits = [i for i in range(len(sequence) - span) if all(sequence[i + p - start] in letters for p, letters in wanted.items())]
+    return (min(hits, key=lambda i: abs(i - target)) if hits else None), target
+
+
+def allowed_letters(codes: list[tuple[str, int, str | None]]) -> dict[int, str]:
+    """Position to the letters of its codes, original and mutant."""
+    out: dict[int, set] = {}
+    for a, n, b in codes:
+        out.setdefault(n, set()).update(x for x in (a, b) if x)
+    return {n: "".join(sorted(x)) for n, x in out.items()}
+
+
+@F.pandas_udf(T.StructType([T.StructField("index", T.IntegerType()), T.StructField("target", T.IntegerType())]))
+def closest_sets(sequence: pd.Series, codes: pd.Series) -> pd.DataFrame:
+    """nearest_set_hit() of a text of codes in a sequence."""
+    rows = []
+    for s, c in zip(sequence, codes):
+        wanted = allowed_letters(codes_of(c))
+        rows.append(nearest_set_hit(s, wanted, min(wanted)) if wanted else (None, -1))
+    return pd.DataFrame(rows, columns=["index", "target"]).astype("Int32")
+
+
 @F.pandas_udf(T.StructType([T.StructField("index", T.IntegerType()), T.StructField("target", T.IntegerType())]))
 def corroborate(sequence: pd.Series, codes: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([nearest_hit(s, codes_of(c)) or (None, None) for s, c in zip(sequence, codes)], columns=["index", "target"]).astype("Int32")

@@ -23,24 +23,31 @@ def fix_scientific(c: Column) -> Column:
 
 
 def fix_km(c: Column) -> Column:
-    """Molar spelling: µ, no thousands commas, mM/nM/µM case, mol/L as M; null for mass concentrations."""
+    """Molar spelling: µ, no thousands commas, mm and nm as mM and nM, uM in any case as µM, mol/L as M; null for mass
+    concentrations. pM stays (SURVEY §9)."""
     t = F.replace(fix_scientific(F.translate(c, "μ", "µ")), F.lit(","), F.lit(""))
-    for wrong, right in (("mm", "mM"), ("nm", "nM"), ("µm", "µM"), ("pm", "pM")):
-        t = F.regexp_replace(t, rf"(?iu)(?<![\p{{L}}]){wrong}(?![\p{{L}}/])", right)
-    t = F.regexp_replace(t, r"mol(?:/L| L\^-1)", "M")
-    letters = F.regexp_replace(t, r"[^\p{L}]", "")
+    for wrong, right in (("mm", "mM"), ("nm", "nM"), ("(?i:[uµ]M)", "µM"), ("(?i:pM)", "pM")):
+        t = F.regexp_replace(t, rf"(?U)\b{wrong}\b", right)
+    t = F.regexp_replace(t, r"(?iU)mol/L\b", "M")
+    letters = F.regexp_replace(t, r"[^\p{L}]|[xX]", "")
     known = letters.isin("", "M", "mM", "µM", "nM", "pM")
-    return F.when(~known & t.rlike("g/|mg"), None).otherwise(t)
+    return F.when(~known & (t.contains("g/") | t.contains("mg")), None).otherwise(t)
+
+
+#: Time units of a rate; texts of other letters that make it an activity or a concentration.
+_TIMES = ["ms", "millisecond", "s", "sec", "second", "m", "min", "minute", "h", "hr", "hour", "day"]
+_NO_RATE = r"mol|mg|U|/g|l/|L|(?U)\bM\b|(?iU)\b[mpµn]M\b"
 
 
 def fix_kcat(c: Column) -> Column:
-    """Rate spelling: sec as s, unit-1 as unit^-1; null for activities and concentrations."""
+    """Rate spelling: sec as s, unit-1 as unit^-1; null for activities and concentrations. Texts without letters or
+    without digits stay."""
     t = F.replace(fix_scientific(F.translate(c, "μ", "µ")), F.lit(","), F.lit(""))
-    bare = ~t.rlike(r"\p{L}") | ~t.rlike(r"\d")
-    bad = F.regexp_replace(t, r"(?:ms|sec|s|min|m|hr|h|x|e|per)(?![\p{L}])", "").rlike(r"mol|mg|U|g/|/l|/L|[mµnp]?M")
-    u = F.regexp_replace(F.replace(F.regexp_replace(t, f"[{DASHES}]", "-"), F.lit("-'"), F.lit("-1")), r"sec(?![\p{L}])", "s")
-    u = F.regexp_replace(u, r"\b(ms|s|min|m|hr|h)\s?-1", r"$1^-1")
-    return F.when(bare, t).when(bad, None).otherwise(u)
+    letters = F.regexp_replace(t, r"[^\p{L}]|x", "")
+    kept = (letters == "") | ~t.rlike(r"\p{Nd}") | letters.isin(*_TIMES)
+    u = F.regexp_replace(F.replace(F.translate(t, "−–", "--"), F.lit("-'"), F.lit("-1")), r"(?U)\bsec\b", "s")
+    u = F.regexp_replace(u, rf"(?U)\b({'|'.join(_TIMES)})-1\b", "$1^-1")
+    return F.when(~kept & t.rlike(_NO_RATE), None).otherwise(u)
 
 
 def ascii_fold(c: Column, lowercase: bool = True) -> Column:
@@ -94,6 +101,21 @@ def is_valid_namespace(c: Column) -> Column:
     return ~c.rlike(r'[*/\\<>:|?]')
 
 
+#: Endings of namespaces and the model and output form they stand for.
+MODELS = [
+    ("-mini", "gpt-4o-mini", False), ("-oneshot", "gpt-4o-2024-05-13", False), ("-4o", "gpt-4o-2024-05-13", False), ("-4os", "gpt-4o-2024-08-06", False),
+    ("-4o-str", "gpt-4o-2024-08-06", True), ("-4ostruct", "gpt-4o-2024-08-06", True),
+]
+
+
+def model_of(namespace: Column, tuned: dict[str, str] | None = None) -> Column:
+    """struct(model, structured) by the namespace's ending; tuned: endings of fine-tuned models. Other namespaces give null."""
+    out = F.lit(None).cast("struct<model:string,structured:boolean>")
+    for ending, model, structured in [*MODELS, *((e, m, False) for e, m in (tuned or {}).items())]:
+        out = F.when(namespace.endswith(ending), F.struct(F.lit(model).alias("model"), F.lit(structured).alias("structured"))).otherwise(out)
+    return out
+
+
 def explode_field(c: Column) -> Column:
     """Delimited text as a list: '; ' if it stands there, else ', '; empty or null gives an empty list."""
     parts = F.when(c.contains("; "), F.split(c, "; ")).otherwise(F.split(c, ", "))

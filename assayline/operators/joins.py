@@ -12,8 +12,8 @@ def asof_nearest(left: DataFrame, right: DataFrame, by: list[str], on: str, widt
     """left with `on`_right: the nearest value of right with equal keys, the larger of two equally near; null if none.
 
     Values are dealt to cells of `width`; a row looks first at its own and the neighbouring cells, so a hot key's rows
-    don't all meet. With a tolerance (at most width) that is all; without, what found nothing nearer than the cells
-    show looks at its key's next values below and above by a window over both tables.
+    don't all meet. That takes a tolerance, at most width. Without one, `width` has no part: a window over each key's
+    rows of both tables finds the next values below and above, so a key's rows meet in one task.
     """
     if tolerance is not None and tolerance > width:
         raise ValueError("tolerance must not exceed width")
@@ -36,9 +36,9 @@ def asof_nearest(left: DataFrame, right: DataFrame, by: list[str], on: str, widt
 
 
 def asof_scores(left: DataFrame, right: DataFrame, by: list[str], on: str, tolerance: float = 1e-6) -> DataFrame:
-    """One row: tp, wrong, left_only of the nearest match within a relative tolerance."""
+    """One row: tp, wrong, left_only of the nearest match within a relative tolerance (see asof_nearest on hot keys)."""
     found = asof_nearest(left.filter(F.col(on).isNotNull()), right.filter(F.col(on).isNotNull()), by, on, 1.0)
-    gap = F.abs(F.col(on) - F.col(f"{on}_right")) / F.greatest(F.abs(F.col(on)), F.abs(F.col(f"{on}_right")))
+    gap = F.abs(F.col(on) - F.col(f"{on}_right")) / F.nullif(F.greatest(F.abs(F.col(on)), F.abs(F.col(f"{on}_right"))), F.lit(0.0))
     close = (F.col(on) == F.col(f"{on}_right")) | (gap < tolerance)
     return found.agg(F.count_if(close).alias("tp"), F.count_if(~close).alias("wrong"), F.count_if(F.col(f"{on}_right").isNull()).alias("left_only"))
 
@@ -131,15 +131,17 @@ def overlap_share(box: list[Column], other: list[Column]) -> Column:
     return F.when(area == 0, 0.0).otherwise(w * h / area)
 
 
-def unit_replacements(words: DataFrame, boxes: DataFrame, page: list[str], pattern: str = r"^\W*[mM]M?\W*$", least: float = 0.5) -> DataFrame:
-    """words with replacement: µM where a word that matches overlaps a `mu` box, else mM for an `m` box, else null."""
+def unit_replacements(words: DataFrame, boxes: DataFrame, page: list[str], pattern: str = r"(?i)\bmM\b", least: float = 0.5) -> DataFrame:
+    """words with replacement: the word with µM for what matches where it overlaps a `mu` box, else with mM for an `m` box, else null."""
     row = words.withColumn("__row", F.monotonically_increasing_id())
     b = boxes.select(*page, *[F.col(c).alias(f"__{c}") for c in ("x0", "y0", "x1", "y1")], F.col("real_char").alias("__char"))
     # The letter's box lies in the word's.
     share = overlap_share([F.col(f"__{c}") for c in ("x0", "y0", "x1", "y1")], [F.col(c) for c in ("x0", "y0", "x1", "y1")])
     hits = row.filter(F.col("word").rlike(pattern)).join(b, page).filter(share > least)
-    hits = hits.groupBy("__row").agg(F.when(F.bool_or(F.col("__char") == "mu"), "µM").when(F.bool_or(F.col("__char") == "m"), "mM").alias("replacement"))
-    return row.join(hits, "__row", "left").drop("__row")
+    hits = hits.groupBy("__row").agg(F.when(F.bool_or(F.col("__char") == "mu"), "µM").when(F.bool_or(F.col("__char") == "m"), "mM").alias("__unit"))
+    found = row.join(hits, "__row", "left")
+    fixed = F.when(F.col("__unit") == "µM", F.regexp_replace("word", pattern, "µM")).when(F.col("__unit") == "mM", F.regexp_replace("word", pattern, "mM"))
+    return found.withColumn("replacement", fixed).drop("__row", "__unit")
 
 
 def page_text(words: DataFrame, page: list[str], number: str = "wordno", word: str = "word", line_start: str | None = None) -> DataFrame:

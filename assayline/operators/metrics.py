@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayline.functions.similarity import bigram_jaccard, fold_difference, within_tolerance
 from assayline.functions.text import has_number, is_na
 from assayline.operators.assignment import assignment_join, count_matches, equality
+from assayline.runtime import discard, materialise
 
 
 def _rates(tp: Column, wrong: Column, left_only: Column, right_only: Column) -> dict[str, Column]:
@@ -37,25 +40,44 @@ def matched_rows(ours: DataFrame, theirs: DataFrame, value: str, keys: list[str]
 def off_by(ours: DataFrame, theirs: DataFrame, value: str, keys: list[str], factors: list[float], digits: int = 6) -> DataFrame:
     """(factor, tp) per pass: rows that agree exactly (factor 1), then of the rest those that agree after scaling by each factor.
 
-    Counting passes over (key, value) multiplicities; a factor accepts a = b * f or a * f = b.
+    Counting passes over (key, value) multiplicities; a factor accepts a = b * f or a * f = b. Each side is counted once.
+    What is left after the exact pass meets in one join on the scaled value, with the pass as a column; the passes that
+    have candidates then take theirs in turn from that table. Several right values may scale to one left value: the
+    smallest that has rows left is taken.
     """
-    from functools import reduce
+    spark = ours.sparkSession
+    passes = [1.0, *[g for x in factors for g in (x, 1 / x)]]
 
     def counted(df: DataFrame, name: str) -> DataFrame:
         return df.filter(F.col(value).isNotNull()).groupBy(*keys, F.round(value, digits).alias("__v")).agg(F.count(F.lit(1)).alias(name))
 
-    left, right, out = counted(ours, "__n"), counted(theirs, "__m"), []
-    for f in [1.0, *[g for x in factors for g in (x, 1 / x)]]:
-        scaled = right.withColumn("__w", F.round(F.col("__v") * f, digits))
-        hit = left.alias("l").join(scaled.alias("r"), [*[F.col(f"l.{k}") == F.col(f"r.{k}") for k in keys], F.col("l.__v") == F.col("r.__w")])
-        hit = hit.select(*[F.col(f"l.{k}").alias(k) for k in keys], F.col("l.__v").alias("__v"), F.col("r.__v").alias("__r"), F.least("l.__n", "r.__m").alias("__t"))
-        # Several right values may round to one scaled value: the smallest is taken.
-        one = Window.partitionBy(*keys, "__v").orderBy("__r")
-        hit = hit.withColumn("__k", F.row_number().over(one)).filter("__k = 1").drop("__k")
-        out.append(hit.agg(F.coalesce(F.sum("__t"), F.lit(0)).alias("tp")).select(F.lit(max(f, 1 / f)).alias("factor"), "tp"))
-        left = left.join(hit.select(*keys, "__v", "__t"), [*keys, "__v"], "left").select(*keys, "__v", (F.col("__n") - F.coalesce("__t", F.lit(0))).alias("__n")).filter("__n > 0")
-        right = right.join(hit.select(*keys, F.col("__r").alias("__v"), "__t"), [*keys, "__v"], "left").select(*keys, "__v", (F.col("__m") - F.coalesce("__t", F.lit(0))).alias("__m")).filter("__m > 0")
-    return reduce(DataFrame.unionByName, out).groupBy("factor").agg(F.sum("tp").alias("tp"))
+    def same_keys(a: str, b: str) -> list[Column]:
+        return [F.col(f"{a}.{k}") == F.col(f"{b}.{k}") for k in keys]
+
+    both = counted(ours, "__n").alias("l").join(counted(theirs, "__m").alias("r"), [*same_keys("l", "r"), F.col("l.__v") == F.col("r.__v")], "full")
+    n, m = F.coalesce("__n", F.lit(0)), F.coalesce("__m", F.lit(0))
+    rest = materialise(both.select(
+        *[F.coalesce(f"l.{k}", f"r.{k}").alias(k) for k in keys], F.coalesce("l.__v", "r.__v").alias("__v"), F.least(n, m).alias("__t"), (n - F.least(n, m)).alias("__n"), (m - F.least(n, m)).alias("__m"),
+    ), "off-by-rest")
+    scaled = F.explode(F.array(*[F.struct(F.lit(k).alias("p"), F.round(F.col("__v") * f, digits).alias("w")) for k, f in enumerate(passes) if k]))
+    right = rest.filter("__m > 0").select(*keys, F.col("__v").alias("__r"), "__m", scaled.alias("__s")).select(*keys, "__r", "__m", "__s.*") if len(passes) > 1 else None
+    tp, taken = {0: rest.agg(F.coalesce(F.sum("__t"), F.lit(0))).first()[0]}, []
+    if right is not None:
+        met = rest.filter("__n > 0").select(*keys, "__v", "__n").alias("l").join(right.alias("r"), [*same_keys("l", "r"), F.col("l.__v") == F.col("r.w")])
+        met = materialise(met.select(*[F.col(f"l.{k}").alias(k) for k in keys], "__v", "__r", "__n", "__m", "p"), "off-by-met")
+        for (k,) in sorted(met.select("p").distinct().toLocalIterator()):
+            now = met.filter(F.col("p") == k).drop("p")
+            for side, left_over in (("__v", "__n"), ("__r", "__m")):
+                if taken:
+                    gone = reduce(DataFrame.unionByName, taken).groupBy(*keys, side).agg(F.sum("__t").alias("__g"))
+                    now = now.join(gone, [*keys, side], "left").withColumn(left_over, F.col(left_over) - F.coalesce("__g", F.lit(0))).drop("__g")
+            first = now.filter("__n > 0 and __m > 0").groupBy(*keys, "__v").agg(F.min(F.struct("__r", F.least("__n", "__m").alias("__t"))).alias("__s"))
+            taken.append(materialise(first.select(*keys, "__v", "__s.*"), "off-by-taken"))
+            tp[k] = taken[-1].agg(F.coalesce(F.sum("__t"), F.lit(0))).first()[0]
+        discard(met, *taken)
+    discard(rest)
+    got = [(max(f, 1 / f), tp.get(k, 0)) for k, f in enumerate(passes)]
+    return spark.createDataFrame(got, "factor double, tp bigint").groupBy("factor").agg(F.sum("tp").alias("tp"))
 
 
 def presence_precision_recall(df: DataFrame, ours: str, theirs: str, feedback: list[str]) -> DataFrame:

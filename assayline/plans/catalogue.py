@@ -47,18 +47,32 @@ def quantity_parse(spark: SparkSession, sf: str) -> DataFrame:
     return df.select("l_orderkey", "l_linenumber", F.round("t_value", 9).alias("value"), F.col("t_unit").alias("unit"), F.round("t_true_value", 9).alias("true_value"))
 
 
-@query("""
+#: What follows a number, and what it becomes (None: no quantity of this kind).
+_KM_CASES = [
+    (" mm", " mM"), (",000 μM", "000 µM"), (" mg/ml", None), (" uM", " µM"), (" UM", " µM"), (" nm", " nM"), (" mmol/L", " mM"), (" g/L", None), (" pM", " pM"), (" x 10⁻² M", " x 10^-2 M"),
+    (" nmol/mg", None), (" mM", " mM"), ("", ""),
+]
+_KCAT_CASES = [
+    (" sec-1", " s^-1"), (" min−1", " min^-1"), (" µmol/min/mg", None), (" minute-1", " minute^-1"), (" second-1", " second^-1"), (" hour-1", " hour^-1"), (" day-1", " day^-1"), (" nkat/g", None),
+    (" /g", None), (" MIN^-1", " MIN^-1"), (" nM", None), (" M", None), (" s⁻¹", " s^-1"), (" h-'", " h^-1"), (" U/mg", None), (",500 s^-1", "500 s^-1"), (" ", " "),
+]
+
+
+def _cases_sql(cases: list[tuple[str, str | None]], n: str) -> str:
+    text = lambda x: "NULL" if x is None else "'" + x.replace("'", "''") + "'"
+    return f"CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) || list_extract([{', '.join(text(b) for _, b in cases)}], CAST({n} % {len(cases)} + 1 AS INTEGER))"
+
+
+@query(f"""
 SELECT l_orderkey, l_linenumber, CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) || ' x 10^-' || CAST(l_linenumber AS VARCHAR) || ' M' AS plain,
-  CASE l_linenumber % 3 WHEN 0 THEN CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) || ' mM' WHEN 1 THEN CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) || '000 µM' ELSE NULL END AS km,
-  CASE l_linenumber % 3 WHEN 0 THEN CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) || ' s^-1' WHEN 1 THEN CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) || ' min^-1' ELSE NULL END AS kcat
+  {_cases_sql(_KM_CASES, "l_partkey")} AS km, {_cases_sql(_KCAT_CASES, "l_partkey")} AS kcat
 FROM lineitem""")
 def unit_normalisers(spark: SparkSession, sf: str) -> DataFrame:
-    n, q = F.col("l_linenumber"), _S("l_quantity")
+    n, q, k = F.col("l_linenumber"), _S("l_quantity"), F.col("l_partkey")
     sup = F.translate(n.cast("string"), "0123456789", "⁰¹²³⁴⁵⁶⁷⁸⁹")
-    km = F.when(n % 3 == 0, F.concat(q, F.lit(" mm"))).when(n % 3 == 1, F.concat(q, F.lit(",000 μM"))).otherwise(F.concat(q, F.lit(" mg/ml")))
-    kcat = F.when(n % 3 == 0, F.concat(q, F.lit(" sec-1"))).when(n % 3 == 1, F.concat(q, F.lit(" min−1"))).otherwise(F.concat(q, F.lit(" µmol/min/mg")))
+    case = lambda cases: F.concat(q, F.element_at(F.array(*[F.lit(a) for a, _ in cases]), (k % len(cases) + 1).cast("int")))
     return table(spark, sf, "lineitem").select(
-        "l_orderkey", "l_linenumber", text.fix_scientific(F.concat(q, F.lit(" x 10⁻"), sup, F.lit(" M"))).alias("plain"), text.fix_km(km).alias("km"), text.fix_kcat(kcat).alias("kcat")
+        "l_orderkey", "l_linenumber", text.fix_scientific(F.concat(q, F.lit(" x 10⁻"), sup, F.lit(" M"))).alias("plain"), text.fix_km(case(_KM_CASES)).alias("km"), text.fix_kcat(case(_KCAT_CASES)).alias("kcat")
     )
 
 
@@ -255,8 +269,20 @@ def assignment_outer(spark: SparkSession, sf: str) -> DataFrame:
     return _sided(spark, sf, "outer")
 
 
-@query("""SELECT CAST(CASE WHEN l_linenumber % 3 = 0 THEN 1000 ELSE 1 END AS DOUBLE) AS factor, count(*) AS tp FROM lineitem GROUP BY 1""")
+_FACTORS = [1000.0, 10.0, 100.0, 60.0, 1e6, 1e4, 3600.0]
+
+
+@query("""SELECT CAST(f AS DOUBLE) AS factor, coalesce(n, 0) AS tp FROM (SELECT unnest([1, 1000, 10, 100, 60, 1000000, 10000, 3600]) AS f)
+LEFT JOIN (SELECT list_extract([1000, 10, 100, 60, 1000000, 10000, 3600, 1], CAST(o_orderkey % 8 + 1 AS INTEGER)) AS f, count(*) AS n FROM orders GROUP BY 1) USING (f)""")
 def off_by_factor(spark: SparkSession, sf: str) -> DataFrame:
+    """Each order's price against itself, scaled by one of seven factors or not at all."""
+    rows = table(spark, sf, "orders").select("o_orderkey", F.floor("o_totalprice").cast("double").alias("value"))
+    scale = F.element_at(F.array(*map(F.lit, [*_FACTORS, 1.0])), (F.col("o_orderkey") % 8 + 1).cast("int"))
+    return metrics.off_by(rows, rows.withColumn("value", F.col("value") * scale), "value", ["o_orderkey"], _FACTORS)
+
+
+@query("""SELECT CAST(CASE WHEN l_linenumber % 3 = 0 THEN 1000 ELSE 1 END AS DOUBLE) AS factor, count(*) AS tp FROM lineitem GROUP BY 1""")
+def off_by_thousand(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "lineitem").select("l_orderkey", F.col("l_quantity").alias("value"), "l_linenumber")
     theirs = rows.withColumn("value", F.when(F.col("l_linenumber") % 3 == 0, F.col("value") * 1000).otherwise(F.col("value")))
     return metrics.off_by(rows, theirs, "value", ["l_orderkey"], [1000.0])
@@ -441,11 +467,11 @@ def _yaml_documents(spark: SparkSession, sf: str) -> DataFrame:
   l_linenumber || ' mM' AS km, CAST(3 AS INTEGER) AS fragments FROM lineitem""")
 def yaml_relations(spark: SparkSession, sf: str) -> DataFrame:
     ship(spark)
-    data = extraction.five_relations(extraction.parse(_yaml_documents(spark, sf)))["data"]
+    data = extraction.five_relations(extraction.parse(_yaml_documents(spark, sf), records=False))["data"]
     return data.select("pmid", "descriptor", "kcat", "km", F.size("fragments").alias("fragments"))
 
 
-@query("""SELECT CAST(l_orderkey AS VARCHAR) AS pmid, 'enzyme-' || l_suppkey AS enzyme, 'pH 7.' || l_linenumber AS pH, CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) || ' s^-1' AS kcat, l_linenumber || ' mM' AS km FROM lineitem""")
+@query("""SELECT CAST(l_orderkey AS VARCHAR) AS pmid, 'enzyme-' || l_suppkey AS enzyme, '7.' || l_linenumber AS pH, CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) || ' s^-1' AS kcat, l_linenumber || ' mM' AS km FROM lineitem""")
 def context_resolution(spark: SparkSession, sf: str) -> DataFrame:
     ship(spark)
     return extraction.measurements(extraction.parse(_yaml_documents(spark, sf))).select("pmid", "enzyme", "pH", "kcat", "km")

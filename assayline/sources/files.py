@@ -114,6 +114,95 @@ def next_version(names: DataFrame, stem: str, col: str = "filename", extension:
     return (names.agg(F.max(n)).first()[0] or 0) + 1
 
 
+def fasta_records(texts: DataFrame, col: str = "text") -> DataFrame:
+    """(ncbi, descriptor, sequence) of FASTA texts of several records each."""
+    from assayline.functions.text import recover_ncbi
+
+    record = texts.select(F.explode(F.slice(F.split(col, ">"), 2, 1 << 30)).alias("r"))
+    head = F.split_part("r", F.lit("\n"), F.lit(1))
+    return record.select(recover_ncbi(head).alias("ncbi"), head.alias("descriptor"), F.replace(F.substr("r", F.char_length(head) + 2), F.lit("\n"), F.lit("")).alias("sequence"))
+
+
+def code_table(df: DataFrame, top: int | None = None) -> DataFrame:
+    """An alias table: viable_ecs as enzyme_ecs, with `top` also the first so many of them."""
+    out = df.withColumnRenamed("viable_ecs", "enzyme_ecs")
+    return out if top is None else out.withColumn(f"enzyme_ecs_top{top}", F.slice("enzyme_ecs", 1, top))
+
+
+def register(spark: SparkSession, datasets: dict[str, str]) -> dict[str, DataFrame]:
+    """Named datasets (name to path) as temporary views; returns them."""
+    out = {name: read_any(spark, path) for name, path in datasets.items()}
+    for name, df in out.items():
+        df.createOrReplaceTempView(name)
+    return out
+
+
+def files_with_key(lines: DataFrame, files: DataFrame, key: str, namespace: str | None = None, version: str | None = None) -> DataFrame:
+    """(path, namespace, version, modificationTime) of line files that hold namespace_version_key, newest first; none is an error."""
+    cid = F.get_json_object("value", "$.custom_id")
+    part = lambda k: F.get(F.split(cid, "_", 3), F.lit(k))
+    found = lines.select("path", part(0).alias("namespace"), part(1).alias("version"), part(2).alias("__key")).filter(F.col("__key") == key)
+    for c, v in (("namespace", namespace), ("version", version)):
+        found = found if v is None else found.filter(F.col(c) == v)
+    found = found.drop("__key").distinct().join(files.select("path", "modificationTime"), "path")
+    if found.isEmpty():
+        raise FileNotFoundError(f"no file holds {key}")
+    return found.orderBy(F.desc("modificationTime"), "path")
+
+
+def read_keys(spark: SparkSession, path: str, name: str = "pmid") -> DataFrame:
+    """Distinct lines of text files."""
+    return spark.read.text(path).select(F.trim("value").alias(name)).filter(F.col(name) != "").distinct()
+
+
+def write_keys(df: DataFrame, root: str, namespace: str, version: int, name: str = "pmid") -> str:
+    """A versioned list of keys; an existing version is an error."""
+    path = f"{root}/{namespace}_{version}.txt"
+    df.select(F.col(name).cast("string")).distinct().write.mode("errorifexists").text(path)
+    return path
+
+
+def key_versions(spark: SparkSession, root: str, namespace: str) -> list[int]:
+    """Versions that write_keys() has written, ascending."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in system.listStatus(path)] if system.exists(path) else []
+    return sorted(int(n[len(namespace) + 1 : -4]) for n in names if n.startswith(f"{namespace}_") and n.endswith(".txt") and n[len(namespace) + 1 : -4].isdigit())
+
+
+def read_key_cache(spark: SparkSession, root: str, namespace: str, version: int | None = None, name: str = "pmid") -> DataFrame:
+    """The list of a version, or of the latest; none is an error."""
+    versions = key_versions(spark, root, namespace)
+    if not versions:
+        raise FileNotFoundError(f"no list of {namespace}")
+    return read_keys(spark, f"{root}/{namespace}_{versions[-1] if version is None else version}.txt", name)
+
+
+def remnants(listed: DataFrame, namespace: str, version: str | None = None) -> DataFrame:
+    """Files whose names begin with the namespace (and version): what an earlier run left."""
+    stem = f"{namespace}_" + (f"{version}" if version is not None else "")
+    return listed.filter(F.substring_index("path", "/", -1).startswith(stem))
+
+
+def write_once(df: DataFrame, path: str, overwrite: bool = False) -> None:
+    """Parquet that an existing table keeps from being written, unless overwrite is set."""
+    df.write.mode("overwrite" if overwrite else "ignore").parquet(path)
+
+
+def accessions_by_file(texts: DataFrame, name: str = "filename", text: str = "text") -> DataFrame:
+    """(filename, pdb, uniprot, refseq, genbank) of whole files' texts."""
+    from assayline.functions.text import identifiers
+
+    return texts.select(name, identifiers(F.col(text)).alias("i")).select(name, "i.*")
+
+
+def mutants_by_file(texts: DataFrame, name: str = "filename", text: str = "text") -> DataFrame:
+    """(filename, mutants): distinct codes joined by '; '."""
+    from assayline.functions.mutants import codes
+
+    return texts.select(name, F.array_join(F.array_distinct(codes(F.col(text))), "; ").alias("mutants"))
+
+
 def drop_seen(files: DataFrame, seen: DataFrame, key: str = "path") -> DataFrame:
     return files.join(seen.select(key).distinct(), key, "left_anti")
 

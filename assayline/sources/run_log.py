@@ -70,6 +70,11 @@ def relocate(log: DataFrame, root: str) -> DataFrame:
     return log.withColumns({c: F.when(F.col(c).isNotNull(), F.concat(F.lit(root.rstrip("/")), F.substring(F.col(c), n + 1, 1 << 30))) for c in PATHS})
 
 
+def convert(log: DataFrame) -> DataFrame:
+    """A log of an earlier layout in the present one: there is only one layout so far."""
+    return log
+
+
 def _number(c: str = "version"):
     return F.when(F.col(c).startswith("v"), F.substring(F.col(c), 2, 20).try_cast("bigint"))
 

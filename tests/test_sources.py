@@ -44,7 +44,7 @@ def test_documents(spark):
     assert [r.pmid for r in rel["errors"].collect()] == ["2"] and rel["enzyme_ctx"].first().synonyms == ["EA", "alpha"]
     m = {(r.pmid, r.descriptor): r for r in extraction.measurements(parsed).collect()}
     a = m[("1", "WT; enzyme A; substrate X; pH 7.5; 25 °C; with Mg2+")]
-    assert (a.enzyme, a.mutant, a.organism, a.pH, a.temperature, a.cofactors, a.substrate_full) == ("enzyme A", "WT", "Homo sapiens", "pH 7.5", "25 °C", "Mg2+", "substance X")
+    assert (a.enzyme, a.mutant, a.organism, a.pH, a.temperature, a.cofactors, a.substrate_full) == ("enzyme A", "WT", "Homo sapiens", "pH 7.5", "25 °C", "with Mg2+", "substance X")
     b = m[("1", "A12G; EA")]
     assert (b.enzyme, b.enzyme_full, b.mutant, b.substrate) == ("EA", "enzyme A", "A12G", None) or b.enzyme_full == "enzyme A"
 
