@@ -2,8 +2,8 @@
 
 The reference of a document is every document with a smaller id. Windows of `window` words are what counts. Content
 picks anchors (the smallest of the hashes of `anchor` words inside each window), so equal windows have equal
-anchors; an anchor that only one document holds can't lie in a repeat. The anchors that several hold form the index,
-in blocks of bounded size. Parsing goes from anchor to anchor: if all its occurrences have the same words around them,
+anchors; an anchor that only one document holds can't lie in a repeat. The anchors that several hold form the index.
+Parsing goes from anchor to anchor: if all its occurrences have the same words around them,
 the whole stretch is copied from the smallest document: a factor. Where occurrences differ, a factor ends or begins,
 and each window across that boundary is looked up by itself. What factors and boundary windows cover is removed.
 """
@@ -115,52 +115,40 @@ def shared_anchors(rows: DataFrame, window: int, anchor: int) -> DataFrame:
     return found.groupBy("h").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo < hi").select("h")
 
 
-def _blocks(hashes: DataFrame, max_bits: int) -> Iterator[tuple[int, int, Bitmap]]:
-    """(block, blocks, bitmap) over an index that is cut by the hash's high bits until a bitmap of max_bits serves."""
-    n = hashes.count()
-    n_blocks = max(1, -(-n * 8 // max_bits))
-    for b in range(n_blocks):
-        part = hashes if n_blocks == 1 else hashes.filter(F.pmod(F.shiftright("h", 40), F.lit(n_blocks)) == b)
-        yield b, n_blocks, bitmap_of(part, "h", -(-n // n_blocks), 16, max_bits)
+def _sieve(hashes: DataFrame, max_bits: int):
+    """A broadcast bitmap of the hashes, of at most max_bits. Over a large index it lets more pass; it is never cut into
+    blocks, so documents are read once, and what passes wrongly falls out in the reduction that follows."""
+    return hashes.sparkSession.sparkContext.broadcast(bitmap_of(hashes, "h", hashes.count(), 16, max_bits))
 
 
-def _chosen(h: np.ndarray, block: int, n_blocks: int, bits: Bitmap) -> np.ndarray:
-    ok = bits.has(h)
-    return ok if n_blocks == 1 else ok & ((h >> 40) % n_blocks == block)
+def occurrences(rows: DataFrame, index: DataFrame, window: int, anchor: int, max_bits: int) -> DataFrame:
+    """(h, id, hash, at, lo, hi, s1, s2) of the index's anchors, and some others, in every document: where, the windows around, their words' hashes."""
+    sent = _sieve(index, max_bits)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "__text", SLICE):
+                a = Anchored(part.column("__text"), window, anchor, seeds=2)
+                keep = sent.value.has(a.hash)
+                lo, hi, h = a.lo[keep], a.hi[keep], a.hash[keep]
+                row = a.words.row[lo]
+                s1, s2 = a.stretch(keep)
+                base = a.words.first[row]
+                take = pa.array(row)
+                yield pa.RecordBatch.from_arrays(
+                    [_int(h), part.column("__id").take(take), part.column("__hash").take(take), *[pa.array((x - base).astype(np.int32)) for x in (lo, hi)], _int(s1), _int(s2)],
+                    ["h", "__id", "__hash", "lo", "hi", "s1", "s2"],
+                )
 
-def occurrences(rows: DataFrame, index: DataFrame, window: int, anchor: int, max_bits: int) -> DataFrame:
-    """(h, id, hash, at, lo, hi, s1, s2) of the index's anchors in every document: where, the windows around, their words' hashes."""
-    out = None
-    for b, n_blocks, bits in _blocks(index, max_bits):
-        sent = rows.sparkSession.sparkContext.broadcast(bits)
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent, b=b, n_blocks=n_blocks) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for part in slices(batch, "__text", SLICE):
-                    a = Anchored(part.column("__text"), window, anchor, seeds=2)
-                    keep = _chosen(a.hash, b, n_blocks, sent.value)
-                    lo, hi, h = a.lo[keep], a.hi[keep], a.hash[keep]
-                    row = a.words.row[lo]
-                    s1, s2 = a.stretch(keep)
-                    base = a.words.first[row]
-                    take = pa.array(row)
-                    yield pa.RecordBatch.from_arrays(
-                        [_int(h), part.column("__id").take(take), part.column("__hash").take(take), *[pa.array((x - base).astype(np.int32)) for x in (lo, hi)], _int(s1), _int(s2)],
-                        ["h", "__id", "__hash", "lo", "hi", "s1", "s2"],
-                    )
-
-        found = rows.mapInArrow(run, "h bigint, __id bigint, __hash bigint, lo int, hi int, s1 bigint, s2 bigint")
-        out = found if out is None else out.unionByName(found)
-    return out
+    return rows.mapInArrow(run, "h bigint, __id bigint, __hash bigint, lo int, hi int, s1 bigint, s2 bigint")
 
 
 class _Edges:
-    """The windows of a slice whose anchor may be in a block of the mixed ones: starts, and 128 bits of their words."""
+    """The windows of a slice whose anchor may be one of the mixed ones: starts, and 128 bits of their words."""
 
-    def __init__(self, part: pa.RecordBatch, window: int, anchor: int, block: int, n_blocks: int, bits: Bitmap):
+    def __init__(self, part: pa.RecordBatch, window: int, anchor: int, bits: Bitmap):
         a = Anchored(part.column("__text"), window, anchor, seeds=2)
-        keep = _chosen(a.hash, block, n_blocks, bits)
+        keep = bits.has(a.hash)
         lo, n = a.lo[keep], a.hi[keep] - a.lo[keep] + 1
         at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
         self.row = a.words.row[at] if at.size else at
@@ -174,51 +162,48 @@ def boundary_windows(rows: DataFrame, mixed: DataFrame, window: int, anchor: int
     Two passes over the documents instead of a stored table of all boundary windows: the first reduces them to those
     that several ids hold, each with its smallest id; the second sends only what may be one of those to the join.
     """
-    spark, out = rows.sparkSession, None
-    for block, n_blocks, bits in _blocks(mixed, max_bits):
-        sent = spark.sparkContext.broadcast(bits)
-
-        def reduce(batches: Iterator[pa.RecordBatch], sent=sent, block=block, n_blocks=n_blocks) -> Iterator[pa.RecordBatch]:
-            held, size = [], 0
-
-            def flush() -> pa.RecordBatch:
-                w1, w2, ids = (np.concatenate([x[k] for x in held]) for k in range(3))
-                order = np.lexsort((ids, w2, w1))
-                w1, w2, ids = w1[order], w2[order], ids[order]
-                new = np.flatnonzero(np.append(True, (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1]))) if w1.size else np.zeros(0, np.int64)
-                last = ids[np.append(new[1:], w1.size) - 1] if w1.size else ids
-                return pa.RecordBatch.from_arrays([_int(x) for x in (w1[new], w2[new], ids[new], last)], ["w1", "w2", "lo", "hi"])
-
-            for batch in batches:
-                for part in slices(batch, "__text", SLICE):
-                    e = _Edges(part, window, anchor, block, n_blocks, sent.value)
-                    held.append((e.w1, e.w2, part.column("__id").to_numpy(zero_copy_only=False)[e.row]))
-                    size += e.row.size
-                    if size > 400_000:
-                        yield flush()
-                        held, size = [], 0
-            if held:
-                yield flush()
-
-        firsts = rows.mapInArrow(reduce, "w1 bigint, w2 bigint, lo bigint, hi bigint").groupBy("w1", "w2").agg(F.min("lo").alias("first"), F.max("hi").alias("last"))
-        firsts = materialise(firsts.filter("first < last").select("w1", "w2", "first"), "rlz-firsts")
-        again = spark.sparkContext.broadcast(bitmap_of(firsts, "w1", firsts.count(), 16, max_bits))
-
-        def emit(batches: Iterator[pa.RecordBatch], sent=sent, again=again, block=block, n_blocks=n_blocks) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for part in slices(batch, "__text", SLICE):
-                    e = _Edges(part, window, anchor, block, n_blocks, sent.value)
-                    k = np.flatnonzero(again.value.has(e.w1)) if e.row.size else e.row
-                    take = pa.array(e.row[k])
-                    yield pa.RecordBatch.from_arrays(
-                        [_int(e.w1[k]), _int(e.w2[k]), part.column("__id").take(take), part.column("__hash").take(take), pa.array(e.start[k])], ["w1", "w2", "__id", "__hash", "lo"]
-                    )
-
-        found = rows.mapInArrow(emit, "w1 bigint, w2 bigint, __id bigint, __hash bigint, lo int").join(firsts, ["w1", "w2"])
-        found = materialise(found.filter("__id > first").select("__id", "__hash", "lo"), "rlz-boundaries")
-        discard(firsts)
-        out = found if out is None else out.unionByName(found)
-    return out
+    sent = _sieve(mixed, max_bits)
+
+    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def flush() -> pa.RecordBatch:
+            w1, w2, ids = (np.concatenate([x[k] for x in held]) for k in range(3))
+            order = np.lexsort((ids, w2, w1))
+            w1, w2, ids = w1[order], w2[order], ids[order]
+            new = np.flatnonzero(np.append(True, (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1]))) if w1.size else np.zeros(0, np.int64)
+            last = ids[np.append(new[1:], w1.size) - 1] if w1.size else ids
+            return pa.RecordBatch.from_arrays([_int(x) for x in (w1[new], w2[new], ids[new], last)], ["w1", "w2", "lo", "hi"])
+
+        for batch in batches:
+            for part in slices(batch, "__text", SLICE):
+                e = _Edges(part, window, anchor, sent.value)
+                held.append((e.w1, e.w2, part.column("__id").to_numpy(zero_copy_only=False)[e.row]))
+                size += e.row.size
+                if size > 400_000:
+                    yield flush()
+                    held, size = [], 0
+        if held:
+            yield flush()
+
+    firsts = rows.mapInArrow(reduce, "w1 bigint, w2 bigint, lo bigint, hi bigint").groupBy("w1", "w2").agg(F.min("lo").alias("first"), F.max("hi").alias("last"))
+    firsts = materialise(firsts.filter("first < last").select("w1", "w2", "first"), "rlz-firsts")
+    again = _sieve(firsts.select(F.col("w1").alias("h")), max_bits)
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "__text", SLICE):
+                e = _Edges(part, window, anchor, sent.value)
+                k = np.flatnonzero(again.value.has(e.w1)) if e.row.size else e.row
+                take = pa.array(e.row[k])
+                yield pa.RecordBatch.from_arrays(
+                    [_int(e.w1[k]), _int(e.w2[k]), part.column("__id").take(take), part.column("__hash").take(take), pa.array(e.start[k])], ["w1", "w2", "__id", "__hash", "lo"]
+                )
+
+    found = rows.mapInArrow(emit, "w1 bigint, w2 bigint, __id bigint, __hash bigint, lo int").join(firsts, ["w1", "w2"])
+    found = materialise(found.filter("__id > first").select("__id", "__hash", "lo"), "rlz-boundaries")
+    discard(firsts)
+    return found
 
 
 def duplicate_spans(docs: DataFrame, window: int = 13, anchor: int = 6, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 1 << 28) -> DataFrame:

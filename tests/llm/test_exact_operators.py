@@ -219,7 +219,7 @@ def brute_dedup(rows, window):
 
 @pytest.mark.parametrize("bits", [1 << 28, 1 << 12])
 def test_substring_dedup(docs, rows, bits):
-    """With few bits the index is cut into several blocks."""
+    """With few bits the sieve lets nearly all anchors and windows pass."""
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substring_dedup.dedup(docs, max_bits=bits).collect()}
     assert got == brute_dedup(rows, 13)
 
