@@ -59,17 +59,23 @@ def _int(a: np.ndarray) -> pa.Array:
     return pa.array(a.view(np.int64) if a.dtype == np.uint64 else a, pa.int64())
 
 
-def hot_tokens(rows: DataFrame, k: int, least: int) -> np.ndarray:
-    """Tokens of at least `least` sets, as far as tasks see them twice or more (sorted; at most MOST_HOT)."""
+def hot_tokens(rows: DataFrame, k: int, least: int, share: int = 16) -> np.ndarray:
+    """Tokens of at least `least` sets (sorted; at most MOST_HOT), by two counts: of those that a task sees twice among a
+    million, and of all tokens in one of `share` sets, chosen by the set's signature, of which a task sends every one. A
+    token that stands far apart in very many sets is hot by the second."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from assayline.llm import ngram_join as here
 
-        seen, held, size = set(), [], 0
+        seen, held, chosen, size = set(), [], [], 0
 
         def flush() -> pa.RecordBatch:
             t, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([_int(t[n > 1]), pa.array(n[n > 1], pa.int64())], ["token", "n"])
+            s, m = np.unique(np.concatenate([*chosen, np.zeros(0, np.uint64)]), return_counts=True)
+            t, n, each = t[n > 1], n[n > 1], np.zeros(s.size, dtype=np.int64)
+            return pa.RecordBatch.from_arrays(
+                [_int(np.concatenate([t, s])), pa.array(np.concatenate([n, each]), pa.int64()), pa.array(np.concatenate([np.zeros(t.size, np.int64), m]), pa.int64())], ["token", "n", "m"]
+            )
 
         for batch in batches:
             for part in slices(batch, "__text", SLICE):
@@ -78,16 +84,19 @@ def hot_tokens(rows: DataFrame, k: int, least: int) -> np.ndarray:
                     if sig not in seen:
                         seen.add(sig)
                         held.append(s)
+                        if sig % share == 0:
+                            chosen.append(s)
                         size += s.size
                 if len(seen) > 200_000:
                     seen.clear()
                 if size > 1_000_000:
                     yield flush()
-                    held, size = [], 0
+                    held, chosen, size = [], [], 0
         if held:
             yield flush()
 
-    found = rows.select("__text").mapInArrow(run, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    found = rows.select("__text").mapInArrow(run, "token bigint, n bigint, m bigint").groupBy("token").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+    found = found.select("token", F.greatest("n", F.when(F.col("m") >= 8, F.col("m") * share).otherwise(0)).alias("n")).filter(F.col("n") >= least)
     found = found.orderBy(F.desc("n"), "token").limit(MOST_HOT)
     got = np.fromiter((r["token"] for r in found.select("token").toLocalIterator()), dtype=np.int64)
     return np.sort(got.view(np.uint64))
