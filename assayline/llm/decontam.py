@@ -13,16 +13,18 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayline.llm.batches import slices, tidy
+from assayline.llm.batches import slices
+from assayline.runtime import materialise
 
 Q = 12
 #: Bytes of text whose arrays are held at a time.
 SLICE = 1 << 19
+#: Characters of a text that are searched at a time.
+PIECE = 1 << 19
 _BASE = 0x9E3779B97F4A7C15
 _TOP = 0x33480
 _TABLE: list[np.ndarray] = []
@@ -107,56 +109,106 @@ class Index:
         return start, length, k, length + 1 - Q * (k + 1)
 
     def search(self, texts: list[str]) -> list[tuple[int, int, int, int, int]]:
-        """(number of the text, number of the item, start, end, edits): the first window that holds, for each text and item."""
-        chars, pos, row = reduced(texts)
+        """(number of the text, number of the item, start, end, edits): the first window that holds, for each text and item.
+
+        A text over PIECE characters goes through in pieces; each begins with what the one before ends with, as much as a
+        window with its edits can take.
+        """
+        if not self.hashes.size:
+            return []
+        short = [k for k, t in enumerate(texts) if len(t) <= PIECE]
+        found = [(short[g[0]], *g[1:]) for g in self._search(*reduced([texts[k] for k in short]), len(short))]
+        for k, t in enumerate(texts):
+            if len(t) > PIECE:
+                first: dict[int, tuple] = {}
+                for part in self._pieces(t):
+                    for g in self._search(*part, 1):
+                        first.setdefault(g[1], (k, *g[1:]))
+                found += first.values()
+        return found
+
+    def _pieces(self, text: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """The reduced form of a text, some at a time, with its last characters again at the next one's beginning."""
+        longest = max(int(self._windows(x)[1].max()) for x in self.items)
+        overlap = 2 * (longest + self.band + Q)
+        chars, pos = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        for at in range(0, len(text), PIECE):
+            c, p, _ = reduced([text[at : at + PIECE]])
+            if chars.size and c.size and chars[-1] == 32 and c[0] == 32:
+                c, p = c[1:], p[1:]
+            elif not c.size or (at and c[0] != 32 and not text[at - 1].isalnum() and chars.size and chars[-1] != 32):
+                c, p = np.append(np.uint32(32), c), np.append(0, p)
+            chars, pos = np.concatenate([chars[-overlap:], c]), np.concatenate([pos[-overlap:], p + at])
+            yield chars, pos, np.zeros(chars.size, dtype=np.int32)
+
+    def _pairs(self, hit: np.ndarray, g: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(place in the texts, item, place in it) of shared q-grams, about `most` at a time: one repeated in a text and in
+        an item gives the product of their numbers."""
+        n = self.first[g + 1] - self.first[g]
+        total, at = np.cumsum(n), 0
+        while at < g.size:
+            stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + most, "right")))
+            m = n[at:stop]
+            flat = np.repeat(self.first[g[at:stop]] - (np.cumsum(m) - m), m) + np.arange(m.sum())
+            yield np.repeat(hit[at:stop], m), self.item[flat], self.at[flat]
+            at = stop
+
+    def _search(self, chars: np.ndarray, pos: np.ndarray, row: np.ndarray, n_texts: int) -> list[tuple[int, int, int, int, int]]:
         h = gram_hashes(chars)
-        if not h.size or not self.hashes.size:
+        if not h.size:
             return []
         hit = np.flatnonzero(self.bits[(h >> np.uint64(42)).astype(np.int64)])
         g = np.minimum(np.searchsorted(self.hashes, h[hit]), self.hashes.size - 1)
         ok = (self.hashes[g] == h[hit]) & (row[hit] == row[hit + Q - 1])
         hit, g = hit[ok], g[ok]
-        n = self.first[g + 1] - self.first[g]
-        flat = np.repeat(self.first[g] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        i, item, j = np.repeat(hit, n), self.item[flat], self.at[flat]
-        d = i - j + self.at.max(initial=0) + self.band
-        # Bands of twice the width overlap by half: k edits move a diagonal by at most k <= band.
-        half = d // self.band
-        every = np.concatenate([half, half - 1])
-        text = row[i].astype(np.int64)
-        key_item = np.concatenate([item, item])
-        key_text = np.concatenate([text, text])
-        order = np.lexsort((every, key_item, key_text))
-        a, b, c = key_text[order], key_item[order], every[order]
-        new = np.ones(order.size, dtype=bool)
-        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1])
-        starts = np.flatnonzero(new)
-        counts = np.diff(np.append(starts, order.size))
-        enough = counts >= self.bound[b[starts]]
-        bounds = np.searchsorted(row, np.arange(len(texts) + 1))
+        # Shared q-grams are counted by text, item and band of diagonals, not listed. Bands of twice the width overlap by
+        # half: k edits move a diagonal by at most k <= band.
+        shift = int(self.at.max(initial=0)) + self.band
+        n_bands, n_items = (chars.size + shift) // self.band + 2, len(self.items)
+        cells, counts, held = [], [], 0
+        for i, item, j in self._pairs(hit, g):
+            half = (i - j + shift) // self.band
+            owner = (row[i].astype(np.int64) * n_items + item) * n_bands
+            k, n = np.unique(np.concatenate([owner + half, owner + half - 1]), return_counts=True)
+            cells.append(k)
+            counts.append(n)
+            held += k.size
+            if held > 1 << 21:
+                cells, counts = map(list, zip(_summed(cells, counts)))
+                held = cells[0].size
+        cell, count = _summed(cells, counts)
+        cell = cell[count >= self.bound[cell // n_bands % n_items]] if cell.size else cell
+        bounds = np.searchsorted(row, np.arange(n_texts + 1))
         found: dict[tuple[int, int], tuple[int, int, int]] = {}
-        i2 = np.concatenate([i, i])
-        j2 = np.concatenate([j, j])
-        for s, m in zip(starts[enough], counts[enough]):
-            key = (int(a[s]), int(b[s]))
-            if key in found:
+        for c in cell.tolist():
+            key, half = divmod(c, n_bands)
+            text, item = divmod(key, n_items)
+            if (text, item) in found:
                 continue
-            members = order[s : s + m]
-            got = self._verify(chars[bounds[key[0]] : bounds[key[0] + 1]], key[1], i2[members] - bounds[key[0]], j2[members])
+            lo, hi = half * self.band - shift, (half + 2) * self.band - shift  # of i - j
+            base, end = int(bounds[text]), int(bounds[text + 1])
+            some = slice(*np.searchsorted(hit, [max(base, lo), min(end, hi + self.items[item].size)]))
+            shared, low, high = np.zeros(self.items[item].size, dtype=np.int64), hi, lo
+            for i, it, j in self._pairs(hit[some], g[some]):
+                d = i - j
+                own = (it == item) & (d >= lo) & (d < hi)
+                if own.any():
+                    shared += np.bincount(j[own], minlength=shared.size)
+                    low, high = min(low, int(d[own].min())), max(high, int(d[own].max()))
+            got = self._verify(chars[base:end], item, shared, low - base, high - base)
             if got is not None:
-                lo, hi, edits = got
-                base = bounds[key[0]]
-                found[key] = (int(pos[base + lo]), int(pos[base + hi - 1]) + 1, edits)
+                a, b, edits = got
+                found[(text, item)] = (int(pos[base + a]), int(pos[base + b - 1]) + 1, edits)
         return [(t, it, *v) for (t, it), v in found.items()]
 
-    def _verify(self, doc: np.ndarray, item: int, i: np.ndarray, j: np.ndarray) -> tuple[int, int, int] | None:
-        """The first window of the item that aligns within its edits near the band's diagonals."""
+    def _verify(self, doc: np.ndarray, item: int, shared: np.ndarray, low: int, high: int) -> tuple[int, int, int] | None:
+        """The first window of the item that aligns within its edits near the diagonals low to high; shared: the number of
+        q-grams that each place of the item has in common with the band."""
         x = self.items[item]
         start, length, k, need = self._windows(x)
-        below = np.append(0, np.cumsum(np.bincount(j, minlength=x.size)))
+        below = np.append(0, np.cumsum(shared))
         some = below[start + length - Q + 1] - below[start] >= need
         start, length, k = start[some], length[some], k[some]
-        low, high = int((i - j).min()), int((i - j).max())
         at, count = 0, 1
         while at < start.size:
             part = slice(at, at + count)
@@ -169,6 +221,14 @@ class Index:
         return None
 
 
+def _summed(cells: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct cells, ascending, with the sums of their counts."""
+    if not cells:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    k, back = np.unique(np.concatenate(cells), return_inverse=True)
+    return k, np.bincount(back, weights=np.concatenate(counts), minlength=k.size).astype(np.int64)
+
+
 def least_edits(x: np.ndarray, doc: np.ndarray, start: np.ndarray, length: np.ndarray, low: int, high: int, k: int) -> np.ndarray:
     """For each window of x the edits of the best alignment that `banded` would find between start + low and start + high;
     over k if there is none within k."""
@@ -237,8 +297,8 @@ def banded(pattern: np.ndarray, doc: np.ndarray, first: int, last: int, k: int)
     return (max(0, int(origin[best])), min(doc.size, end), int(cost[best])) if cost[best] <= k else None
 
 
-def blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[Index]:
-    """Indexes of at most about block_bytes of text: what is collected and broadcast at a time."""
+def blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[tuple[bool, Index]]:
+    """(whether it is the last, index) of at most about block_bytes of text: what is collected and broadcast at a time."""
     rows = items.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).distinct()
     total = rows.agg(F.coalesce(F.sum(F.octet_length("__text")), F.lit(0))).first()[0]
     n_blocks = max(1, -(-total // block_bytes))
@@ -248,7 +308,7 @@ def blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int) -> It
         chars = [reduced([t])[0] for _, t in got]
         chars = [c[:-1] if c.size and c[-1] == 32 else c for c in chars]
         kept = [k for k, c in enumerate(chars) if c.size >= Q]
-        yield Index([got[k][0] for k in kept], [chars[k] for k in kept])
+        yield b == n_blocks - 1, Index([got[k][0] for k in kept], [chars[k] for k in kept])
 
 
 def matches(
@@ -256,55 +316,54 @@ def matches(
 ) -> DataFrame:
     """(id, item, start, end, edits): the first window of each item that each document holds, in code points of its text.
 
-    Nulls and empty texts match nothing, nor do items of fewer than 12 reduced characters. Benchmarks over block_bytes are searched block by block.
-    Repeated documents repeat their matches; repeated items count once.
+    Nulls and empty texts match nothing, nor do items of fewer than 12 reduced characters; empty tables give an empty
+    result, other columns are not read. Benchmarks over block_bytes are searched block by block, each block's index
+    broadcast only while its pass runs. Repeated documents repeat their matches; repeated items count once.
     """
     spark = docs.sparkSession
     rows = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
     kind, item_kind = rows.schema["__id"].dataType.simpleString(), items.schema[item_col].dataType
+    text_item = item_kind.simpleString() == "string"
     out = None
-    for index in blocks(items, item_col, item_text_col, block_bytes):
+    for last, index in blocks(items, item_col, item_text_col, block_bytes):
         sent = spark.sparkContext.broadcast(index)
-        item_type = pa.string() if item_kind.simpleString() == "string" else pa.int64()
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part in slices(batch, "__text", SLICE):
                     got = sent.value.search(part.column("__text").to_pylist())
                     ids = part.column("__id").take(pa.array([g[0] for g in got], pa.int64()))
-                    cols = [pa.array([sent.value.ids[g[1]] for g in got], item_type), *[pa.array([g[k] for g in got], pa.int32()) for k in (2, 3, 4)]]
+                    cols = [pa.array([sent.value.ids[g[1]] for g in got], pa.string() if text_item else pa.int64()), *[pa.array([g[k] for g in got], pa.int32()) for k in (2, 3, 4)]]
                     yield pa.RecordBatch.from_arrays([ids, *cols], ["__id", "__item", "start", "end", "edits"])
 
-        part_kind = "string" if item_kind.simpleString() == "string" else "bigint"
-        found = rows.mapInArrow(run, f"__id {kind}, __item {part_kind}, start int, end int, edits int")
-        if out is None:
-            out = found
-        else:
-            out = out.unionByName(found)
+        found = rows.mapInArrow(run, f"__id {kind}, __item {'string' if text_item else 'bigint'}, start int, end int, edits int")
+        if not last or out is not None:
+            found = materialise(found, "decontamination-block")
+            sent.destroy()
+        out = found if out is None else out.unionByName(found)
     return out.withColumnsRenamed({"__id": id_col, "__item": item_col})
 
 
 def without_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", block_bytes: int = 8 << 20, **kw) -> DataFrame:
-    """docs without the rows whose text holds a window of an item; every column and row of the others stays."""
-    for index in blocks(items, kw.get("item_col", "item_id"), kw.get("item_text_col", "text"), block_bytes):
-        docs = docs.filter(_is_clean(docs.sparkSession.sparkContext.broadcast(index))(F.col(text_col)))
+    """docs without the rows whose text holds a window of an item; every column and row of the others stays, null texts too."""
+    several = False
+    for last, index in blocks(items, kw.get("item_col", "item_id"), kw.get("item_text_col", "text"), block_bytes):
+        sent = docs.sparkSession.sparkContext.broadcast(index)
+        docs = docs.filter(_is_clean(sent)(F.col(text_col)))
+        if not last or several:
+            docs, several = materialise(docs, "decontamination-block"), True
+            sent.destroy()
     return docs
 
 
 def _is_clean(sent):
-    @F.pandas_udf("boolean")
-    def clean(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("boolean")
+    def clean(texts: pa.Array) -> pa.Array:
         keep, at = np.ones(len(texts), dtype=bool), 0
-        texts = [t or "" for t in texts]
-        while at < len(texts):
-            stop, held = at, 0
-            while stop < len(texts) and (stop == at or held + len(texts[stop]) <= SLICE):
-                held += len(texts[stop])
-                stop += 1
-            for g in sent.value.search(texts[at:stop]):
+        for part in slices(pa.RecordBatch.from_arrays([texts], ["t"]), "t", SLICE):
+            for g in sent.value.search([t or "" for t in part.column("t").to_pylist()]):
                 keep[at + g[0]] = False
-            at = stop
-        tidy()
-        return pd.Series(keep)
+            at += part.num_rows
+        return pa.array(keep)
 
     return clean
