@@ -16,12 +16,11 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayline.llm.batches import bitmap_of, slices, tidy
+from assayline.llm.batches import bitmap_of, slices
 from assayline.runtime import materialise
 
 KINDS = ("email", "ip", "card", "phone")
@@ -336,21 +335,24 @@ def replaced(text: str, base: list[tuple[str, int, int]], hits: list[tuple[int,
 
 
 def sanitise(docs: DataFrame, policy: Policy = Policy(), text_col: str = "text") -> DataFrame:
-    """docs with text_col sanitised; all other columns and rows stay, null texts too."""
+    """docs with text_col sanitised; all other columns, whatever their names, and all rows, repeated ones too, stay; null texts
+    stay null, an empty table stays empty."""
     terms = materialise(disclosing_terms(docs, policy, text_col), "pii-terms")
     rows, known = _with_hits(docs.withColumn("__text", F.col(text_col)), terms, policy.block)
 
-    @F.pandas_udf("string")
-    def clean(texts: pd.Series, hits: pd.Series) -> pd.Series:
+    @F.arrow_udf("string")
+    def clean(texts: pa.Array, hits: pa.Array) -> pa.Array:
         from assayline.llm import pii as here
 
-        out = []
-        for text, hit in zip(texts, hits):
-            if text is not None:
-                base = here.base_spans(text)
-                text = here.replaced(text, base, here.term_hits(text, known.value, base, None if hit is None else list(hit)))
-            out.append(text)
-        tidy()
-        return pd.Series(out, dtype=object)
+        parts = []
+        for part in slices(pa.RecordBatch.from_arrays([texts, hits], ["t", "h"]), "t"):
+            out = []
+            for text, hit in zip(part.column("t").to_pylist(), part.column("h").to_pylist()):
+                if text is not None:
+                    base = here.base_spans(text)
+                    text = here.replaced(text, base, here.term_hits(text, known.value, base, hit))
+                out.append(text)
+            parts.append(pa.array(out, pa.string()))
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
     return rows.withColumn(text_col, clean(F.col("__text"), F.col("__hits"))).select(*docs.columns)
