@@ -1,8 +1,9 @@
 """Sharding by sampled splitters (JVM only).
 
 Rows are ordered by (hash of the text, doc_id, text CRC). A size-weighted sample of the hashes gives quantile
-boundaries; rows are range-partitioned into fine ranges, ranges that hold too many rows (a text that many documents
-share has one hash) are subdivided at quantiles of doc_id, and exact sums per range turn positions into shards.
+boundaries; rows are range-partitioned into fine ranges, ranges that hold too many rows are subdivided in the order of
+the hashes, a text that many documents share (one hash) by doc_id, and exact sums per range turn positions into shards.
+Equal texts are always neighbours.
 """
 
 from __future__ import annotations
@@ -62,15 +63,24 @@ def shard_by_bytes(
     splits = sorted(set(quantiles or []))
     rows = rows.withColumn("__range", range_bucket(F.col("__key"), splits))
 
-    # A range over twice its share of rows is cut at quantiles of the id's hash: a shared text no longer meets in one task.
+    # A range over twice its share of rows is cut in the order of the keys: at equal steps between its lowest and highest
+    # key, and a key that alone exceeds the share (a text that many documents have) at equal steps of the id's hash.
     share = -(-n // n_ranges)
-    heavy = rows.groupBy("__range").agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > 2 * share)
-    parts = heavy.select("__range", F.least(F.ceil(F.col("__n") / F.lit(share)), F.lit(MAX_RANGES)).cast("int").alias("__parts"))
-    # At most MAX_RANGES rows of (range, parts): n_ranges bounds it, so the broadcast has a fixed size.
-    rows = rows.join(F.broadcast(parts), "__range", "left").withColumn(
-        "__sub", F.when(F.col("__parts").isNull(), F.lit(0)).otherwise(F.floor(_unit(F.lit("sub"), id_hash) * F.col("__parts")).cast("int"))
-    )
-    # Order inside a subdivided range follows (sub, key, id): still one total order for all rows.
+    heavy = rows.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"), F.min("__key").alias("__lo"), F.max("__key").alias("__hi")).filter(F.col("__n") > 2 * share)
+    per_key = rows.join(F.broadcast(heavy.select("__range")), "__range", "left_semi").groupBy("__range", "__key").agg(F.count(F.lit(1)).alias("__k"))
+    hot = per_key.filter(F.col("__k") > share).groupBy("__range").agg(F.array_sort(F.collect_list(F.struct(F.col("__key").alias("key"), (F.col("__k") / share).cast("int").alias("parts")))).alias("__hot"))
+    # At most n_ranges ranges, and fewer than n / share hot keys in all of them: the broadcast has a fixed size.
+    cuts = heavy.join(hot, "__range", "left").select("__range", "__lo", "__hi", F.ceil(F.col("__n") / F.lit(share)).cast("int").alias("__parts"), "__hot")
+    rows = rows.join(F.broadcast(cuts), "__range", "left")
+    none = F.coalesce("__hot", F.array().cast("array<struct<key:bigint,parts:int>>"))
+    mine = F.get(F.filter(none, lambda x: x["key"] == F.col("__key")), F.lit(0))["parts"]
+    below = F.size(F.filter(none, lambda x: x["key"] < F.col("__key")))
+    # Differences of keys as doubles: monotone, and the last step includes the highest key.
+    step = F.floor((F.col("__key").cast("double") - F.col("__lo").cast("double")) / (F.col("__hi").cast("double") - F.col("__lo").cast("double") + 1.0) * F.col("__parts"))
+    spread = F.floor(_unit(F.lit("sub"), id_hash) * (mine + 1))
+    cell = F.when(mine.isNotNull(), (2 * below + 1) * F.lit(1 << 32) + spread).otherwise(2 * below * F.lit(1 << 32) + F.greatest(step, F.lit(0)))
+    rows = rows.withColumn("__sub", F.when(F.col("__parts").isNull(), F.lit(0)).otherwise(cell).cast("long")).drop("__lo", "__hi", "__parts", "__hot")
+    # Order inside a subdivided range follows (sub, key, id): still one total order for all rows, and one that keeps equal texts together.
     per = Window.partitionBy("__range", "__sub").orderBy(
         F.col("__key"), F.col("__id").asc_nulls_first(), F.col("__crc").asc_nulls_first(), "__size"
     )
