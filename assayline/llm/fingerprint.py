@@ -91,7 +91,7 @@ def with_next_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     heads.sort(key=lambda r: r["__range"])
     # The rows that begin each range stand again, flagged, at the end of the one before (the first range's after the last).
     pairs = [(prev["__range"], None if r["__nulls"] else r["__head"], r["__range"]) for prev, r in zip([heads[-1], *heads[:-1]], heads)] if heads else []
-    schema = "__to int, __head long, __from int"
+    schema = f"__to int, __head {rows.schema['__id'].dataType.simpleString()}, __from int"
     marks = docs.sparkSession.createDataFrame(pairs, schema)  # a row a range: MAX_RANGES at most
     firsts = (
         rows.join(F.broadcast(marks), (F.col("__range") == F.col("__from")) & F.col("__id").eqNullSafe(F.col("__head")))
@@ -112,6 +112,8 @@ def edit_probe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """Fingerprint of each text, of its edited form and of the next text, with byte-checked likeness (1.0 equal, else 0.0).
 
     The edited form's last floor(n/2) code points are the first as many of the next text. The digest is exact, so likeness has two values.
+    Null texts count as empty; repeated rows repeat, rows of one id stand in the order of their texts; an empty table gives an
+    empty result; other columns are not read. Digests of edited texts are compared byte by byte with their own text only.
     """
     rows = with_next_text(docs, id_col, text_col).withColumn("n_chars", F.char_length(text_col).cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")

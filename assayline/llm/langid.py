@@ -199,7 +199,8 @@ def fit_mixture(
 def predict(docs: DataFrame, model: Mixture, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, held_out, lang_pred, score, mixture) of every row: the largest proportion and all of them.
 
-    A null text or one without a letter gives `und` and 0; so does a model that has learned nothing.
+    A null text or one without a letter gives `und` and 0; so does a model that has learned nothing. Of equal proportions the
+    language first in the alphabet counts. Repeated rows repeat; an empty table gives an empty result; other columns are not read.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)  # languages x buckets
 
