@@ -35,6 +35,59 @@ def test_sharding_is_balanced_with_a_hot_text(spark):
     assert max(abs(r.b - mean) for r in got) <= 20
 
 
+def test_sharding_against_brute_force(docs, rows):
+    """One range: rows in the order of their texts' hashes, cut where the middle of a row's bytes passes a shard's share."""
+    key = {r.doc_id: r.k for r in docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("k")).collect()}
+    order = sorted(((key[i], i, len((t or "").encode()) + 1) for i, t in rows))
+    total, at, want, slots = sum(x[2] for x in order), 0, {}, defaultdict(int)
+    for _, i, size in order:
+        shard = min(7, int((at + size / 2) * 8 / total))
+        want[i] = (size, shard, slots[shard])
+        slots[shard] += 1
+        at += size
+    assert {r.doc_id: (r.size, r.shard, r.slot) for r in sharding.shard_by_bytes(docs, 8).collect()} == want
+
+
+def test_equal_texts_are_neighbours(spark):
+    """Two thirds of the rows share two texts; many other texts stand twice, and tiny rows fill ranges of their own."""
+    df = spark.range(6000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 3 == 1, "warm").otherwise(F.concat(F.lit("t"), (F.col("id") % 900).cast("string"))).alias("text"))
+    got = sorted((r.shard, r.slot, r.doc_id) for r in sharding.shard_by_bytes(df, 4, rows_per_range=64).collect())
+    text = {r.doc_id: r.text for r in df.collect()}
+    seen, last = set(), None
+    for _, _, i in got:
+        if text[i] != last:
+            assert text[i] not in seen
+            seen.add(text[i])
+            last = text[i]
+    assert len(got) == 6000
+
+
+def test_fingerprints_against_an_independent_form(spark, docs, rows):
+    """Unicode by the standard library, xxHash by its own binding; Spark chains the two hashes by their seeds."""
+    import unicodedata
+
+    import xxhash
+
+    def form(t):
+        t = unicodedata.normalize("NFC", unicodedata.normalize("NFC", t).casefold())
+        return re.sub("[\\s\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+", " ", t).strip(" ")
+
+    def mark(t):
+        return "".join(f"{xxhash.xxh64_intdigest(form(t).encode(), xxhash.xxh64_intdigest(struct.pack('<i', s), 42)):016x}" for s in (1, 2))
+
+    more = [(5000, "Ａ ＢＣ straße"), (5001, "STRASSE \u2003 e\u0301"), (5002, "strasse É"), (5003, "ΣΑΣ ς"), (5004, "x\u200by")]
+    df = docs.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
+    got = {r.doc_id: r.fingerprint for r in fingerprint.fingerprints(df).collect()}
+    assert got == {i: mark(t or "") for i, t in [*rows, *more]}
+    edited = {r.doc_id: r for r in fingerprint.edit_probe(df).collect()}
+    order = sorted((i, t or "") for i, t in [*rows, *more])
+    for k, (i, t) in enumerate(order):
+        nxt, half = order[(k + 1) % len(order)][1], len(t) // 2
+        new = t[: len(t) - half] + nxt[:half]
+        assert (edited[i].fingerprint, edited[i].edited_fingerprint) == (mark(t), mark(new))
+        assert (edited[i].near_edited, edited[i].near_next) == (float(form(t) == form(new)), float(form(t) == form(nxt)))
+
+
 def test_fingerprints(docs, rows, none):
     order = sorted(((i, t or "") for i, t in rows))
     got = {r.doc_id: r for r in fingerprint.edit_probe(docs).collect()}
@@ -118,6 +171,25 @@ def test_base_spans():
     assert pii.base_spans("9" * 100_000 + "." + "8" * 100_000) == []
 
 
+def test_base_spans_against_the_literal_patterns():
+    import random
+
+    rng = random.Random(11)
+    luhn = lambda ds: sum(d if k % 2 == 0 else d * 2 - 9 * (d > 4) for k, d in enumerate(reversed(ds))) % 10 == 0
+    digits = lambda t: [int(c) for c in t if "0" <= c <= "9"]
+    kinds = [
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda t: True),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda t: all(int(x) <= 255 for x in t.split("."))),
+        ("card", r"[0-9]([\x20-]?[0-9])+", lambda t: 13 <= len(digits(t)) <= 19 and luhn(digits(t))),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda t: 9 <= len(digits(t)) <= 15),
+    ]
+    parts = ["a.b", "@", "x-y", ".org", ".", "1", "25", "255", "256", "4111 1111 1111 1111", "4111-1111-1111-1111", "+1 (555) 123-4567", "+", "-", " ", "é", "12345678901234", "\n", "(", ")", "+44 20"]
+    for _ in range(4000):
+        t = "".join(rng.choice(parts) for _ in range(rng.randrange(14)))
+        want = [(name, m.start(), m.end()) for name, p, ok in kinds for m in re.finditer(p, t) if ok(m.group())]
+        assert pii.base_spans(t) == want, t
+
+
 @pytest.fixture(scope="module")
 def leaky(spark):
     """A code word that stands beside one address in different contexts, and nowhere else; common words do not disclose."""
@@ -137,6 +209,34 @@ def test_disclosing_terms(leaky, block):
     assert "zanzibarproject" not in clean[5001] and "[EMAIL]" in clean[1000] and clean[1].startswith("note1 common") and clean[5000] == "" and clean[None] is None
 
 
+def test_disclosing_terms_against_brute_force(leaky):
+    """Counts, information and the decision from plain dictionaries; contexts() names what stands near an entity."""
+    import math
+
+    texts = [r.text for r in leaky.collect()]
+    windows, n_pair, n_term, own = defaultdict(set), defaultdict(int), defaultdict(int), defaultdict(int)
+    for t in filter(None, texts):
+        near = defaultdict(set)
+        for entity, term, seen in pii.contexts(t, 8):
+            near[entity, term].add(seen)
+        for k, some in near.items():
+            windows[k] |= some
+            (n_pair if k[1] else own)[k if k[1] else k[0]] += 1
+        words = set(pii._TERM.findall(t.lower()))
+        for w in words | {w[:3] + "*" for w in words}:
+            n_term[w] += 1
+    want = {}
+    for (entity, term), some in windows.items():
+        p = own[entity] / len(texts)
+        if term and len(some) >= 3 and not term.endswith("*"):
+            pmi, ic = math.log2(min(1.0, n_pair[entity, term] / n_term[term]) / p), -math.log2(p)
+            if ic > 0 and pmi >= 0.9 * ic:
+                want[term] = max(want.get(term, (-1.0,)), (pmi, entity, n_pair[entity, term], n_term[term]))
+    got = {r.term: (r.pmi, r.entity, r.n_pair, r.n_term) for r in pii.disclosing_terms(leaky).collect()}
+    assert got.keys() == want.keys() and "zanzibarproject" in got
+    assert all(abs(got[t][0] - want[t][0]) < 1e-9 and got[t][1:] == want[t][1:] for t in got)
+
+
 def test_every_window_of_a_document_counts(spark):
     """Four windows in one document are four contexts of one document; a repeated window is one."""
     line = "about{0}x zanzibarproject common {0}side boss@corp.example.com wrote{0}z finally{0}y again{0}w and{0}v then{0}u until{0}t over{0}s more{0}r"
@@ -271,3 +371,69 @@ def test_decontamination_finds_passages_anywhere():
     assert {g[:2] for g in index.search(docs)} == want
     for text, item, lo, hi, edits in index.search(docs):
         assert edits <= 6 and 0 <= lo < hi <= len(docs[text])
+
+
+def test_decontamination_against_edit_distances():
+    """Every window of every item against every document by plain alignment: the same pairs, none missed and none added."""
+    import numpy as np
+
+    from tests.llm.conftest import sentence
+
+    rng = np.random.default_rng(17)
+    items = [sentence(4000 + i, 22) for i in range(3)] + ["quartz brackets tolerate vivid harbour signals", "abc abc abc abc abc abc abc abc abc abc abc abc abc abc abc abc"]
+    index = decontam.Index(list(range(len(items))), [decontam.reduced([t])[0] for t in items])
+    docs = []
+    for n in range(60):
+        t = items[n % len(items)]
+        w = int(rng.integers(0, max(1, len(t) - 100)))
+        part = list(t[w : w + int(rng.integers(60, 130))])
+        for _ in range(int(rng.integers(0, 9))):
+            at, kind = int(rng.integers(0, len(part))), int(rng.integers(0, 3))
+            part[at : at + (kind != 0)] = ["q"] if kind < 2 else []
+        docs.append(f"{sentence(n, 6)} {''.join(part)} {sentence(800 + n, 6)}")
+
+    def distance(patterns, doc):
+        """The least edits of each pattern (rows of equal length) within doc, which may begin and end anywhere."""
+        cost = np.zeros((len(patterns), doc.size + 1), dtype=np.int64)
+        ramp = np.arange(doc.size + 1)
+        for r in range(patterns.shape[1]):
+            new = np.empty_like(cost)
+            new[:, 0] = cost[:, 0] + 1
+            new[:, 1:] = np.minimum(cost[:, :-1] + (patterns[:, r : r + 1] != doc), cost[:, 1:] + 1)
+            cost = np.minimum.accumulate(new - ramp, axis=1) + ramp
+        return cost.min(axis=1)
+
+    want = set()
+    for d, text in enumerate(docs):
+        doc = decontam.reduced([text])[0]
+        for i, x in enumerate(index.items):
+            start, length, k, need = index._windows(x)
+            for n in np.unique(length):
+                some = np.flatnonzero(length == n)
+                if (distance(np.stack([x[s : s + n] for s in start[some]]), doc) <= k[some]).any():
+                    want.add((d, i))
+    assert {g[:2] for g in index.search(docs)} == want and len(want) > 30
+
+
+def test_decontamination_of_repeated_grams_is_bounded():
+    import tracemalloc
+
+    spam = "spam " * 200
+    index = decontam.Index([1], [decontam.reduced([spam])[0][:-1]])
+    tracemalloc.start()
+    got = index.search(["spam " * 16_000])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [g[:2] for g in got] == [(0, 0)] and peak < 300 << 20
+
+
+def test_decontamination_of_long_texts_in_pieces(monkeypatch):
+    from tests.llm.conftest import sentence
+
+    items = [sentence(7000 + i, 30) for i in range(3)]
+    index = decontam.Index([0, 1, 2], [decontam.reduced([t])[0] for t in items])
+    text = "  ".join([sentence(1, 300), items[2], "?! " * 40, items[0].replace(" ", " \n - "), sentence(2, 500)])
+    whole = sorted(index.search([text, "short"]))
+    for piece in (211, 400, 1000, 1601):
+        monkeypatch.setattr(decontam, "PIECE", piece)
+        assert sorted(index.search([text, "short"])) == whole and {g[1] for g in whole} == {0, 2}

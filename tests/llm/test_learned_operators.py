@@ -29,6 +29,48 @@ def test_language_mixtures(spark, docs, none):
     assert langid.predict(docs.limit(2), langid.fit_mixture(none)).select("lang_pred").distinct().collect()[0][0] == "und"
 
 
+def test_mixtures_against_plain_em():
+    """One text at a time, a dictionary of trigrams, eight steps, one number of languages after the other."""
+    import math
+
+    from tests.llm.conftest import sentence
+
+    langs = {x: " ".join(invented(k, 150).split()) for k, x in enumerate(("aa", "bb", "cc"))}
+    counts = {x: np.bincount(langid.trigrams([t], 1 << 10)[1], minlength=1 << 10) for x, t in langs.items()}
+    model = langid.Mixture.fit(counts)
+    texts = [invented(0, 80), invented(0, 60) + " " + invented(1, 60), " ".join(invented(k, 50) for k in range(3)), sentence(3, 20), "x", "1 2"]
+
+    def em(terms, some):
+        theta = {j: 1 / len(some) for j in some}
+        for _ in range(model.steps):
+            new = dict.fromkeys(some, 0.0)
+            for b, n in terms.items():
+                total = sum(theta[j] * math.exp(model.log_p[b, j]) for j in some)
+                for j in some:
+                    new[j] += n * theta[j] * math.exp(model.log_p[b, j]) / total
+            theta = {j: v / sum(terms.values()) for j, v in new.items()}
+        return theta, sum(n * math.log(sum(theta[j] * math.exp(model.log_p[b, j]) for j in some)) for b, n in terms.items())
+
+    for text, got in zip(texts, model.infer(texts)):
+        row, bucket, has = langid.trigrams([text], 1 << 10)
+        terms = {int(b): int(n) for b, n in zip(*np.unique(bucket, return_counts=True))}
+        if not has[0]:
+            assert got == []
+            continue
+        n = sum(terms.values())
+        full, _ = em(terms, range(3))
+        order = sorted(range(3), key=lambda j: -full[j])
+        single = [sum(m * model.log_p[b, j] for b, m in terms.items()) for j in range(3)]
+        best, cost = {max(range(3), key=lambda j: single[j]): 1.0}, -2 * max(single)
+        for k in (2, 3):
+            theta, ll = em(terms, order[:k])
+            c = -2 * ll + model.penalty * 4 * math.log(max(n, 2)) * (k - 1)
+            if c < cost:
+                best, cost = theta, c
+        want = {model.langs[j]: v for j, v in best.items() if v > 1e-3}
+        assert {x for x, _ in got} == set(want) and all(abs(v - want[x]) < 2e-3 for x, v in got)
+
+
 def invented(lang: int, n: int) -> str:
     """Words over two consonants and two vowels of their own."""
     c, v = "bcdfghjklmnpqrstvwxz"[lang % 20 :] + "bcdfghjklmnpqrstvwxz"[: lang % 20], "aeiouyäöüéè"
