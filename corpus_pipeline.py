@@ -42,7 +42,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids, decoded) of every row; ids are little-endian unsigned 32-bit integers."""
     ship(spark)
     path = public_tokenizers.path("word_bpe_49k.json")
-    coded = bpe.encode_decode(docs, path, bpe.build_lexicon(docs, path))
+    coded = bpe.encode_decode(docs, path, bpe.build_lexicon(docs, path), cache=60_000)
     return coded.select("doc_id", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", "decoded")
 
 
