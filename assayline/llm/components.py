@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayline.runtime import materialise
+from assayline.runtime import discard, materialise
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -28,5 +28,6 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
         if tuple(state) == before or not state[0]:
             break
         before = tuple(state)
-        now = materialise(_star(_star(now, True), False), label)
+        old, now = now, materialise(_star(_star(now, True), False), label)
+        discard(old)
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()

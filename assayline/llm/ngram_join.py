@@ -1,11 +1,11 @@
 """Jaccard join of word shingles with a token-group matrix, exact at its threshold.
 
 Equal sets become one node. A global order puts tokens that many sets share (hot ones) last; two sets above
-the threshold share `share` tokens among the first n - ceil(t * n) + share of each. Sets that are mostly hot tokens lie in dense
-neighbourhoods: they are partitioned into groups around verified pivots, and the matrix keeps, for each token, the
-groups (by size) whose union has it. A pair of groups is opened only if they share enough tokens and their sizes
-and hot tokens leave room for the threshold. All other pairs meet at tokens that few sets hold. Every link is
-verified on the whole sets.
+the threshold share `share` tokens among the first n - ceil(t * n) + share of each. Sets are partitioned into groups around
+pivots that they are verified to be linked with; the matrix keeps, for each token, the groups (by size) whose union has
+it. A pair of groups is opened only if their unions share enough tokens and their sizes leave room for the threshold:
+for hot tokens every pair of members is a candidate then, for others those that share such tokens. Every link is verified
+on the whole sets.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from assayline.llm.batches import bitmap_of, slices
 from assayline.llm.components import components
 from assayline.llm.words import Words, mix, runs
-from assayline.runtime import materialise
+from assayline.runtime import discard, materialise
 
 SLICE = 1 << 19
 #: Hot tokens that are broadcast, eight bytes each; beyond it the most frequent are hot. The order of tokens never affects the result.
@@ -222,13 +222,87 @@ def verified(pairs: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFra
                 ok.append(100 * both >= percent * (x.size + y.size - both))
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(ok)), batch.column("b").filter(pa.array(ok))], ["a", "b"])
 
-    return materialise(both.mapInArrow(test, "a bigint, b bigint").distinct(), "tgm-links")
+    found = materialise(both.mapInArrow(test, "a bigint, b bigint").distinct(), "tgm-links")
+    discard(pairs, ends, sets)
+    return found
 
 
 def _sizes_fit(a: Column, b: Column, percent: int) -> Column:
     return (F.lit(100) * F.least(a, b) >= F.lit(percent) * F.greatest(a, b))
 
 
+def _need(n: Column, percent: int, share: int) -> Column:
+    """Tokens that prefixes of two linked sets share at least, the smaller of n tokens."""
+    return F.least(F.lit(share), F.ceil(F.lit(percent) * n / 100))
+
+
+def _pairs_of(opened: DataFrame, inside: DataFrame, keep: Column | None = None) -> DataFrame:
+    """(a, b): the members of opened pairs of groups (la, na, lb, nb); keep: a condition on their rows a and b of inside."""
+    side = lambda s: inside.select(*[F.col(c).alias(f"{s}_{c}") for c in inside.columns])
+    both = opened.join(side("a"), (F.col("la") == F.col("a_label")) & (F.col("na") == F.col("a_n"))).join(side("b"), (F.col("lb") == F.col("b_label")) & (F.col("nb") == F.col("b_n")))
+    return (both if keep is None else both.filter(keep)).select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+
+
+def _stars(post: DataFrame, percent: int, share: int) -> DataFrame:
+    """(a, b): sets and the pivots that they may gather around. Sets that are mostly hot tokens try the set with the fewest
+    other tokens at each of their first two hot tokens. All sets try one more: at each token that is not hot the set with
+    the fewest such tokens is the pivot, and the pivot with the most tokens in common counts. A row a posting, no pairs."""
+    fewest = F.struct("rare", "node")
+
+    def pivots(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("token").agg(F.min_by("node", fewest).alias("pivot"), F.min_by("n", fewest).alias("pivot_n"))
+
+    fits = (F.col("node") != F.col("pivot")) & _sizes_fit(F.col("n"), F.col("pivot_n"), percent)
+    dense = _dense(post, percent)
+    spots = dense.groupBy("node").agg(F.min("n").alias("n"), F.slice(F.sort_array(F.collect_set("token")), 1, 2).alias("tokens")).select("node", "n", F.explode("tokens").alias("token"))
+    hot = spots.join(pivots(dense), "token").filter(fits).select("node", "pivot")
+    cold = post.filter(~F.col("hot"))
+    met = cold.join(pivots(cold), "token").filter(fits).groupBy("node", "pivot").agg(F.count(F.lit(1)).alias("shared"), F.max("room").alias("room"), F.max(F.least("n", "pivot_n")).alias("n"))
+    met = met.filter(F.col("shared") + F.col("room") >= _need(F.col("n"), percent, share)).groupBy("node").agg(F.max_by("pivot", F.struct("shared", -F.col("pivot"))).alias("pivot"))
+    return hot.unionByName(met).select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
+
+
+def _dense(post: DataFrame, percent: int) -> DataFrame:
+    return post.filter("hot").filter(F.lit(100) * (F.col("n") - F.col("rare")) >= F.lit(percent) * F.col("n"))
+
+
+def _opened_hot(dense: DataFrame, percent: int, share: int) -> DataFrame:
+    """(a, b) of members of groups that share hot tokens enough: sets that share none but hot tokens overlap in at most the
+    smaller number of theirs."""
+    matrix = dense.groupBy("token", "label", "n").agg(F.max("hot_n").alias("hot_n"))
+    a, b = matrix.alias("a"), matrix.alias("b")
+    possible = lambda x, y, n, m: F.lit(100) * F.least(x, y) >= F.lit(percent) * (n + m - F.least(x, y))
+    fits = _sizes_fit(F.col("a.n"), F.col("b.n"), percent) & possible(F.col("a.hot_n"), F.col("b.hot_n"), F.col("a.n"), F.col("b.n"))
+    met = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.label") < F.col("b.label")) & fits)
+    met = met.groupBy(F.col("a.label").alias("la"), F.col("a.n").alias("na"), F.col("b.label").alias("lb"), F.col("b.n").alias("nb")).agg(F.count(F.lit(1)).alias("shared"))
+    opened = met.filter(F.col("shared") >= _need(F.least("na", "nb"), percent, share)).drop("shared")
+    return _pairs_of(opened, dense.select("node", "n", "hot_n", "label").distinct(), possible(F.col("a_hot_n"), F.col("b_hot_n"), F.col("na"), F.col("nb")))
+
+
+def _opened_cold(cold: DataFrame, percent: int, share: int) -> DataFrame:
+    """(a, b) of members of groups that share other tokens enough. Two groups of one set each are the pair; of larger groups
+    only members that share such tokens themselves are."""
+    groups = cold.groupBy("token", "label", "n").agg(F.max("room").alias("room"))
+    a, b = groups.alias("a"), groups.alias("b")
+    met = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.label") < F.col("b.label")) & _sizes_fit(F.col("a.n"), F.col("b.n"), percent))
+    met = met.groupBy(F.col("a.label").alias("la"), F.col("a.n").alias("na"), F.col("b.label").alias("lb"), F.col("b.n").alias("nb")).agg(
+        F.count(F.lit(1)).alias("shared"), F.max(F.least("a.room", "b.room")).alias("room")
+    )
+    enough = F.col("shared") + F.col("room") >= _need(F.least("na", "nb"), percent, share)
+    opened = met.filter(enough).drop("shared", "room")
+    size = cold.groupBy("label", "n").agg(F.count_distinct("node").alias("c"), F.min("node").alias("node"))
+    side = lambda s: size.select(F.col("label").alias(f"l{s}"), F.col("n").alias(f"n{s}"), F.col("c").alias(f"c{s}"), F.col("node").alias(s))
+    opened = materialise(opened.join(side("a"), ["la", "na"]).join(side("b"), ["lb", "nb"]), "tgm-opened")
+    alone = (F.col("ca") == 1) & (F.col("cb") == 1)
+    x = cold.select("token", F.col("label").alias("la"), F.col("n").alias("na"), F.col("node").alias("x"), F.col("room").alias("rx")).join(opened.filter(~alone).select("la", "na", "lb", "nb"), ["la", "na"])
+    y = cold.select("token", F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("node").alias("y"), F.col("room").alias("ry"))
+    members = x.join(y, ["token", "lb", "nb"]).groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(
+        F.count(F.lit(1)).alias("shared"), F.max(F.least("rx", "ry")).alias("room"), F.max(F.least("na", "nb")).alias("n")
+    )
+    members = members.filter(F.col("shared") + F.col("room") >= _need(F.col("n"), percent, share))
+    return opened.filter(alone).select("a", "b").unionByName(members.select("a", "b"))
+
+
 def links(docs: DataFrame, k: int = 4, percent: int = 85, share: int = 4, hot_sets: int = 32, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(membership, edges): (__id, n, node) of every row, and the verified links (a, b) that join nodes.
 
@@ -244,43 +318,19 @@ def links(docs: DataFrame, k: int = 4, percent: int = 85, share: int = 4, hot_se
     members = materialise(table.select("__id", "n", "s1", "s2").join(nodes, ["s1", "s2"], "left").select("__id", "n", F.coalesce("node", "__id").alias("node")), "tgm-members")
     held = table.filter("n > 0").join(nodes.select(F.col("node").alias("__id"), F.col("s1"), F.col("s2")), ["__id", "s1", "s2"], "left_semi").select(F.col("__id").alias("node"), "n", "rare", "prefix")
     held = materialise(held, "tgm-prefixes")
-    post = materialise(postings(held, materialise(shared_tokens(held), "tgm-shared"), hot), "tgm-postings")
-
-    # Groups: sets that are mostly hot tokens gather around the node with the fewest other tokens at their first hot token.
-    dense = post.filter("hot").filter(F.lit(100) * (F.col("n") - F.col("rare")) >= F.lit(percent) * F.col("n"))
-    pivots = dense.groupBy("token").agg(F.min_by("node", F.struct("rare", "node")).alias("pivot"), F.min_by("n", F.struct("rare", "node")).alias("pivot_n"))
-    spots = dense.groupBy("node").agg(F.min("n").alias("n"), F.slice(F.sort_array(F.collect_set("token")), 1, 2).alias("tokens")).select("node", "n", F.explode("tokens").alias("token"))
-    star = spots.join(pivots, "token").filter((F.col("node") != F.col("pivot")) & _sizes_fit(F.col("n"), F.col("pivot_n"), percent))
-    star = verified(star.select(F.col("node").alias("a"), F.col("pivot").alias("b")), rows, k, percent)
+    discard(table, nodes)
+    shared = materialise(shared_tokens(held), "tgm-shared")
+    post = materialise(postings(held, shared, hot), "tgm-postings")
+    discard(held, shared)
+    star = verified(_stars(post, percent, share), rows, k, percent)
     label = components(star, "tgm-groups")
-    dense = dense.join(label, "node", "left").select("token", "node", "n", (F.col("n") - F.col("rare")).alias("hot_n"), F.coalesce("component", "node").alias("label"))
-    dense = materialise(dense, "tgm-dense")
-    # The matrix: for each token, the groups (a label's sets of one size) whose union holds it.
-    matrix = dense.groupBy("token", "label", "n").agg(F.max("hot_n").alias("hot_n"))
-    a, b = matrix.alias("a"), matrix.alias("b")
-    # Two sets that share none but hot tokens overlap in at most the smaller number of theirs.
-    top = F.least("a.hot_n", "b.hot_n")
-    fits = _sizes_fit(F.col("a.n"), F.col("b.n"), percent) & (F.lit(100) * top >= F.lit(percent) * (F.col("a.n") + F.col("b.n") - top))
-    met = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.label") < F.col("b.label")) & fits)
-    met = met.groupBy(F.col("a.label").alias("la"), F.col("a.n").alias("na"), F.col("b.label").alias("lb"), F.col("b.n").alias("nb")).agg(F.count(F.lit(1)).alias("shared"))
-    need = F.ceil(F.lit(percent) * F.least("na", "nb") / 100)
-    opened = materialise(met.filter(F.col("shared") >= F.least(F.lit(share), need)), "tgm-opened")
-    inside = dense.select("node", "n", "hot_n", "label").distinct()
-    ga = inside.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"), F.col("hot_n").alias("ha"))
-    gb = inside.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"), F.col("hot_n").alias("hb"))
-    top = F.least("ha", "hb")
-    pairs_hot = opened.join(ga, ["la", "na"]).join(gb, ["lb", "nb"]).filter(F.lit(100) * top >= F.lit(percent) * (F.col("na") + F.col("nb") - top)).select("a", "b")
-
-    # All other links share a token that is not hot.
-    rare = post.filter(~F.col("hot")).join(label, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component", "hot")
-    x, y = rare.alias("x"), rare.alias("y")
-    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")) & _sizes_fit(F.col("x.n"), F.col("y.n"), percent))
-    met = met.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(
-        F.count(F.lit(1)).alias("shared"), F.max(F.least("x.room", "y.room")).alias("room"), F.max(F.least("x.n", "y.n")).alias("n")
-    )
-    need = F.least(F.lit(share), F.ceil(F.lit(percent) * F.col("n") / 100))
-    pairs_rare = met.filter(F.col("shared") + F.col("room") >= need).select("a", "b")
-    more = verified(pairs_hot.unionByName(pairs_rare), rows, k, percent)
+    # The matrix: for each token, the groups (a label's sets of one size) whose union holds it; a set without a pivot is a group.
+    grouped = post.join(label, "node", "left").withColumns({"label": F.coalesce("component", "node"), "hot_n": F.col("n") - F.col("rare")}).drop("component")
+    grouped = materialise(grouped, "tgm-matrix")
+    discard(post)
+    pairs = _opened_hot(_dense(grouped, percent), percent, share).unionByName(_opened_cold(grouped.filter(~F.col("hot")), percent, share))
+    more = verified(pairs, rows, k, percent)
+    discard(grouped)
     return members, star.unionByName(more)
 
 
