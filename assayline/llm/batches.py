@@ -23,6 +23,24 @@ def slices(batch: pa.RecordBatch, text: str, max_bytes: int = 4 << 20) -> Iterat
     tidy()
 
 
+def portions(texts: list[str], chars: int = 500_000) -> Iterator[list[tuple[int, str]]]:
+    """(position, text) of about `chars` characters at a time; a longer text is cut at spaces (in it, if none is near)."""
+    held_now, part = 0, []
+    for k, t in enumerate(texts):
+        at = 0
+        while len(t) - at > chars:
+            stop = max(t.rfind(" ", at + chars // 2, at + chars), t.rfind("\n", at + chars // 2, at + chars)) + 1 or at + chars
+            yield [(k, t[at:stop])]
+            at = stop
+        if part and held_now + len(t) - at > chars:
+            yield part
+            held_now, part = 0, []
+        part.append((k, t[at:] if at else t))
+        held_now += len(t) - at
+    if part:
+        yield part
+
+
 def tidy() -> None:
     """Gives freed memory back to the system: a worker outlives its task, and others run beside it."""
     pa.default_memory_pool().release_unused()

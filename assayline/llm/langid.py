@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayline.llm.batches import slices
+from assayline.llm.batches import portions, slices
 
 #: No code point from here on is a letter in Unicode.
 _TOP = 0x33480
@@ -85,8 +85,13 @@ class Mixture:
         return out
 
     def _infer(self, texts: list[str], n_buckets: int) -> list[list[tuple[str, float]]]:
-        row, bucket, has = trigrams(texts, n_buckets)
-        dense = np.bincount(row * n_buckets + bucket, minlength=len(texts) * n_buckets)
+        # Long texts are counted in pieces that end at spaces: no trigram spans one.
+        dense, has = np.zeros(len(texts) * n_buckets, dtype=np.int64), np.zeros(len(texts), dtype=bool)
+        for part in portions(texts):
+            owner = np.array([k for k, _ in part], dtype=np.int64)
+            row, bucket, some = trigrams([t for _, t in part], n_buckets)
+            dense += np.bincount(owner[row] * n_buckets + bucket, minlength=dense.size)
+            has[owner[some]] = True
         cell = np.flatnonzero(dense)
         row, bucket, n = cell // n_buckets, cell % n_buckets, dense[cell].astype(np.float32)
         docs, first = np.unique(row, return_index=True)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayline.llm.batches import Cache, held, slices, tidy
+from assayline.llm.batches import Cache, held, portions, slices, tidy
 from assayline.llm.langid import held_out
 
 _STRIP = re.compile(r"[\W_]+")
@@ -156,24 +156,6 @@ class StringKernelSvm:
         return 1 / (1 + np.exp(-np.clip(self.slope * raw + self.offset, -30, 30)))
 
 
-def portions(texts: list[str], chars: int = 500_000) -> Iterator[list[tuple[int, str]]]:
-    """(position, text) of about `chars` characters at a time; a longer text is cut at spaces (in it, if none is near)."""
-    held_now, part = 0, []
-    for k, t in enumerate(texts):
-        at = 0
-        while len(t) - at > chars:
-            stop = max(t.rfind(" ", at + chars // 2, at + chars), t.rfind("\n", at + chars // 2, at + chars)) + 1 or at + chars
-            yield [(k, t[at:stop])]
-            at = stop
-        if part and held_now + len(t) - at > chars:
-            yield part
-            held_now, part = 0, []
-        part.append((k, t[at:] if at else t))
-        held_now += len(t) - at
-    if part:
-        yield part
-
-
 class Segments:
     """Sentences of texts, in segments of at most 32 words. words: the different lower-cased words at white space; ids and
     segment: of each word in turn; of: the text of each segment. A sentence ends at . ! ? or a line's end; three or more
