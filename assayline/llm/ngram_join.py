@@ -59,9 +59,9 @@ def _int(a: np.ndarray) -> pa.Array:
     return pa.array(a.view(np.int64) if a.dtype == np.uint64 else a, pa.int64())
 
 
-def hot_tokens(rows: DataFrame, k: int, least: int, share: int = 16) -> np.ndarray:
-    """Tokens of at least `least` sets (sorted; at most MOST_HOT), by two counts: of those that a task sees twice among a
-    million, and of all tokens in one of `share` sets, chosen by the set's signature, of which a task sends every one. A
+def hot_tokens(rows: DataFrame, k: int, least: int, share: int = 16, task_tokens: int = 1_000_000) -> np.ndarray:
+    """Tokens of at least `least` sets (sorted; at most MOST_HOT), by two counts: of those that a task sees twice among
+    task_tokens, and of all tokens in one of `share` sets, chosen by the set's signature, of which a task sends every one. A
     token that stands far apart in very many sets is hot by the second."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,7 +89,7 @@ def hot_tokens(rows: DataFrame, k: int, least: int, share: int = 16) -> np.ndarr
                         size += s.size
                 if len(seen) > 200_000:
                     seen.clear()
-                if size > 1_000_000:
+                if size > task_tokens:
                     yield flush()
                     held, chosen, size = [], [], 0
         if held:

@@ -6,6 +6,7 @@ import struct
 from collections import defaultdict
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -135,6 +136,19 @@ def test_coding_and_counts(docs, rows, none):
     assert bpe.coding_digests(none, word, bpe.build_lexicon(none, word)).count() == 0 and token_count.token_counts(none, byte).count() == 0
 
 
+def test_counts_of_random_odd_texts():
+    """Pieces cut at safe boundaries count as the whole text does, whatever stands beside them."""
+    import random
+
+    rng = random.Random(4)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    counter, tok = token_count.Counter(path), Tokenizer.from_file(path)
+    parts = ["a", "bc ", " ", "  ", "\n", "é", "12", "'s", "...", "\x1c", "\x85", "\u180e", "\u200b", "\u2060", "\ufeff", "\u00a0", "日本", "<|endoftext|>", "word ", " word", "\t"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(25))) for _ in range(3000)]
+    assert counter.count(texts) == [len(tok.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert len(token_count.pieces("x\u200b " + "many words " * 1000)[1]) > 1900
+
+
 def test_special_tokens_and_odd_text(spark):
     texts = ["a<|endoftext|>b", "<|STARTOFTEXT|> <|startoftext|>", "x\x1cy\x85z", "½²³ 12ab'LL I'VE", "İΣΑΣ", "  lead  and\ttrail ", "​zero﻿", "_x_ __"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
@@ -283,6 +297,17 @@ def test_ngram_join(docs, rows, k, percent, hot):
     assert got == brute_components(rows, k, percent)
 
 
+def test_tokens_far_apart_are_hot(spark):
+    """A phrase in every fiftieth text, of which a task never sees two at a time."""
+    from tests.llm.conftest import sentence
+
+    texts = [(i, sentence(i, 30) + (" a phrase that comes again" if i % 50 == 0 else "")) for i in range(20_000)]
+    rows = spark.createDataFrame(texts, "__id long, __text string").coalesce(2)
+    phrase = ngram_join.shingle_sets(pa.array(["a phrase that comes again"]), 4)[0]
+    hot = ngram_join.hot_tokens(rows, 4, 32, task_tokens=1000)
+    assert set(phrase.tolist()) <= set(hot.tolist())
+
+
 def test_ngram_join_edges(spark, docs, rows, none):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.join_components(docs).collect()}
     assert got == brute_components(rows, 4, 85)

@@ -78,6 +78,16 @@ def invented(lang: int, n: int) -> str:
     return " ".join(w[i % 4] + w[(i // 4) % 4] + w[(i // 16) % 4] + w[(i + i // 5) % 4] for i in range(n))
 
 
+def test_long_texts_are_counted_in_pieces():
+    counts = {x: np.bincount(langid.trigrams([invented(k, 200)], 1 << 14)[1], minlength=1 << 14) for k, x in enumerate(("a", "b"))}
+    model = langid.Mixture.fit(counts)
+    long = " ".join([invented(0, 120_000), invented(1, 60_000)])
+    assert len(long) > 800_000 and dict(model.infer([long])[0])["a"] > 0.5
+    bucket = langid.trigrams([long], 1 << 14)[1]
+    parts = np.concatenate([langid.trigrams([t], 1 << 14)[1] for part in langid.portions([long]) for _, t in part])
+    assert (np.bincount(bucket) == np.bincount(parts)).all()
+
+
 def test_more_than_four_languages_in_one_text():
     names = [f"l{k}" for k in range(7)]
     counts = {x: np.bincount(langid.trigrams([invented(k, 200)], 1 << 14)[1], minlength=1 << 14) for k, x in enumerate(names)}
