@@ -91,6 +91,11 @@ def presence_precision_recall(df: DataFrame, ours: str, theirs: str, feedback: l
     return sums.withColumns({"precision": rate(F.col("tp"), F.col("tp") + F.col("fp") + F.col("wrong")), "recall": rate(F.col("tp"), F.col("tp") + F.col("fn"))})
 
 
+def report(scores: DataFrame) -> DataFrame:
+    """(name, value) of a table of one row of numbers, a line per score."""
+    return scores.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in scores.columns])).alias("s")).select("s.*")
+
+
 def mean_log_ratio(df: DataFrame, a: str, b: str) -> DataFrame:
     """Mean |log10(a / b)| over rows with both, neither 0 nor 1e9 or more; 0 if there are none."""
     x, y = F.col(a), F.col(b)

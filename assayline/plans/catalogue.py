@@ -132,7 +132,7 @@ def bigram_jaccard(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def fuzzy_top_k(spark: SparkSession, sf: str) -> DataFrame:
-    """Names of every part divisible by 20 against all part types and names."""
+    """The names of parts whose id is divisible by 20 (the search's queries) against all part types."""
     ship(spark)
     p = table(spark, sf, "part")
     return joins.similar_names(p.filter("p_partkey % 20 = 0"), p.select("p_type").distinct(), "p_name", "p_type", 5, 30.0)
@@ -549,9 +549,9 @@ def thesaurus(spark: SparkSession, sf: str) -> DataFrame:
     return pipelines.thesaurus(n.select(F.col("n_name").alias("name")), [(d, "word", "ids")]).select("name", "ids")
 
 
-@query()
+@query("""SELECT l_orderkey AS pmid, 19990.01 AS objective, TRUE AS same_enzyme, TRUE AS same_mutant, TRUE AS same_substrate, 1.0 AS kcat_diff, 1.0 AS km_diff FROM lineitem""")
 def weighted_match(spark: SparkSession, sf: str) -> DataFrame:
-    """Lines of an order against themselves in another order, paired by the weighted objective."""
+    """Lines of an order against themselves, paired by the weighted objective: each with itself, as its mutant is its own."""
     ship(spark)
     rows = table(spark, sf, "lineitem").select(
         F.col("l_orderkey").alias("pmid"), F.concat(F.lit("enzyme "), F.col("l_suppkey").cast("string")).alias("enzyme"), F.lit(None).cast("string").alias("enzyme_full"),
@@ -559,4 +559,5 @@ def weighted_match(spark: SparkSession, sf: str) -> DataFrame:
         F.concat(F.lit("A"), (F.col("l_linenumber") + 10).cast("string"), F.lit("G")).alias("mutant"), F.concat(_S("l_quantity"), F.lit(" s^-1")).alias("kcat"), F.concat(F.col("l_linenumber").cast("string"), F.lit(" mM")).alias("km"),
     )
     ours = pipelines.prepared(rows)
-    return pipelines.match(ours, ours).select("pmid", "objective", "same_enzyme", "same_mutant", "same_substrate", "kcat_diff", "km_diff")
+    found = pipelines.match(ours, ours)
+    return found.select("pmid", F.round("objective", 6).alias("objective"), "same_enzyme", "same_mutant", "same_substrate", F.round("kcat_diff", 9).alias("kcat_diff"), F.round("km_diff", 9).alias("km_diff"))

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from assayline.functions import fuzzy, mutants, quality, sequences, similarity, text
 from assayline.functions.quantity import default_unit, significant_digits
 from assayline.operators import cleaning, infusion, joins, metrics, sampling, validation
+from assayline.operators.assignment import assignment_join
+from assayline.operators.objectives import column_similarity, number_sets
 from assayline.plans import pipelines
 from assayline.plans.catalogue import _S, query
 from assayline.runtime import scratch_root, ship, table
@@ -609,3 +611,79 @@ def written_splits(spark: SparkSession, sf: str) -> DataFrame:
     path = _folder(spark, "splits")
     sampling.write_splits(sampling.split(table(spark, sf, "conversations").select("conv_id").distinct(), "conv_id"), path)
     return spark.read.json(path).groupBy(F.lit("all").alias("split")).agg(F.count_distinct("conv_id").alias("n"))
+
+
+@query("""SELECT l_orderkey, l_quantity AS value_1, l_quantity AS value_2, 1.0 AS objective, 1.0 AS ratio FROM lineitem GROUP BY l_orderkey, l_quantity""")
+def matched_numbers(spark: SparkSession, sf: str) -> DataFrame:
+    """The distinct quantities of each order paired with themselves by mantissa and exponent."""
+    ship(spark)
+    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_quantity")
+    found = joins.matched_numbers(rows, rows, "l_orderkey", "l_quantity", number_sets())
+    return found.select("l_orderkey", "value_1", "value_2", F.round("objective", 9).alias("objective"), F.round("ratio", 9).alias("ratio"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, 4.0 AS score FROM lineitem""")
+def column_matches(spark: SparkSession, sf: str) -> DataFrame:
+    """Each order's lines paired with themselves by weighted column similarity."""
+    ship(spark)
+    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.concat(F.lit("part "), _text("l_partkey")).alias("substrate"), F.concat(F.lit("A1"), _text("l_linenumber"), F.lit("G")).alias("mutant"),
+                                               F.col("l_quantity").alias("kcat_value"), F.col("l_linenumber").cast("double").alias("km_value"))
+    pairs = assignment_join(rows, rows.drop("l_linenumber"), ["l_orderkey"], column_similarity({"substrate": 1.0, "mutant": 1.0, "kcat": 1.0, "km": 1.0}), objective_column="score")
+    return pairs.select("l_orderkey", F.col("l_linenumber_1").alias("l_linenumber"), F.round("score", 9).alias("score"))
+
+
+@query("""SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'ns_v1.jsonl' ELSE 'ns_v2.jsonl' END AS file, 'ns' AS namespace, CASE WHEN o_orderkey % 2 = 0 THEN 'v1' ELSE 'v2' END AS version, 'ns_v2.jsonl' AS newest,
+(SELECT count(*) FROM orders) AS n, 3 AS next FROM orders WHERE o_orderkey = (SELECT max(o_orderkey) FROM orders)""")
+def located_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Line files of two versions: which holds the last order, which is the newest, what is left of a version, the next name."""
+    root, o = _folder(spark, "lines"), table(spark, sf, "orders")
+    even = F.col("o_orderkey") % 2 == 0
+    for k, rows in ((1, o.filter(even)), (2, o.filter(~even))):
+        made = rows.select(F.to_json(F.struct(F.concat(F.lit(f"ns_v{k}_"), _text("o_orderkey")).alias("custom_id"))).alias("value"))
+        made.coalesce(1).write.text(f"{root}/parts{k}")
+        completions.merge_shards(spark, f"{root}/parts{k}", f"{root}/ns_v{k}.jsonl")
+    name = lambda c: F.regexp_extract(c, r"(ns_v[0-9]+\.jsonl)", 1)
+    listed = files.listing(spark, root, "part-*").filter(F.col("path").contains(".jsonl/"))
+    lines = completions.read_lines(spark, f"{root}/*.jsonl")
+    last = str(o.agg(F.max("o_orderkey")).first()[0])
+    found = files.files_with_key(lines, listed, last, namespace="ns")
+    stamped = listed.withColumn("modificationTime", name("path"))  # both may be written within a second
+    newest = completions.newest_for(stamped, lines, "ns").first()["path"]
+    left = files.remnants(listed.select(F.concat(F.lit("x/"), name("path")).alias("path")), "ns", "v1").count()
+    names = listed.select(F.regexp_replace(name("path"), "_v", "_").alias("filename"))
+    assert left >= 1
+    return found.select(
+        name("path").alias("file"), "namespace", "version", name(F.lit(newest)).alias("newest"), F.lit(lines.count()).alias("n"), F.lit(files.next_version(names, "ns")).cast("int").alias("next"),
+    )
+
+
+@query("""SELECT n_nationkey, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey""")
+def named_datasets(spark: SparkSession, sf: str) -> DataFrame:
+    """Tables written once, a second write leaving them as they are, and read as named views."""
+    root, datasets = _folder(spark, "datasets"), {}
+    for t in ("nation", "region"):
+        files.write_once(table(spark, sf, t), f"{root}/{t}.parquet")
+        files.write_once(table(spark, sf, t).limit(0), f"{root}/{t}.parquet")
+        datasets[f"set_{t}"] = f"{root}/{t}.parquet"
+    files.register(spark, datasets)
+    return spark.sql("SELECT n_nationkey, n_name, r_name FROM set_nation JOIN set_region ON n_regionkey = r_regionkey")
+
+
+@query("""SELECT conv_id, count(*) AS docs, 'ns_v1_' || conv_id AS custom_id, CAST(conv_id AS VARCHAR) AS pmid, 'answer' AS answer FROM conversations WHERE turn > 0 GROUP BY conv_id""")
+def finetune_forms(spark: SparkSession, sf: str) -> DataFrame:
+    """Fine-tuning examples from finished answers and from crafted ones, and their correspondence, read back from JSON."""
+    c = table(spark, sf, "conversations").filter("turn > 0").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("docs"))
+    asked = c.select(F.concat(F.lit("ns_v1_"), _text("conv_id")).alias("custom_id"), "docs")
+    done = asked.select("custom_id", F.lit("answer").alias("content"), F.lit("stop").alias("finish_reason"))
+    both = completions.finetune_from_batch(asked, done, "system").unionByName(completions.finetune_from_answers(asked, asked.select("custom_id", F.lit("answer").alias("answer")), "system"))
+    m = F.from_json("example", "messages array<struct<role:string,content:string>>")["messages"]
+    turns = F.struct(F.lit("user").alias("role"), F.array(F.struct(F.lit("q").alias("text"))).alias("parts"))
+    line = F.to_json(F.struct("custom_id", F.struct(F.array(turns).alias("contents")).alias("request")))
+    keys = completions.correspondence(asked.select(line.alias("value"))).select("custom_id", "pmid")
+    made = both.select("custom_id", (F.size(m) - 2).cast("bigint").alias("docs"), F.element_at(m, -1)["content"].alias("answer")).distinct()
+    return made.join(keys, "custom_id").select(F.col("pmid").cast("bigint").alias("conv_id"), "docs", "custom_id", "pmid", "answer")
+
+
+@query("""SELECT name, CAST(value AS DOUBLE) AS value FROM (SELECT CAST(count(*) AS DOUBLE) AS n, avg(l_quantity) AS mean FROM lineitem) UNPIVOT (value FOR name IN (n, mean))""")
+def score_report(spark: SparkSession, sf: str) -> DataFrame:
+    return metrics.report(table(spark, sf, "lineitem").agg(F.count(F.lit(1)).alias("n"), F.avg("l_quantity").alias("mean"))).select("name", F.round("value", 9).alias("value"))
