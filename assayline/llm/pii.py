@@ -4,12 +4,14 @@ Base spans (email, ip, card, phone) come from patterns. Their values, and the gr
 network, card prefix, phone prefix), are the protected entities. Over the whole corpus, documents in which a term stands
 within a window around an entity estimate p(entity | term); a term whose pointwise mutual information with an entity
 reaches a share of the entity's information content discloses it. Such a term is generalised to its class (its first
-letters) if the class doesn't disclose the entity too, else removed.
+letters) if the class doesn't disclose the entity too, else removed. A run of letters and digits whose own information
+reaches a number of bits (a key, a token) is a secret: it says nothing but itself.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from bisect import bisect_left
 from collections import Counter
@@ -33,6 +35,8 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _TERM = re.compile(r"[^\W\d_]{3,}")
 _DIGIT = re.compile(r"[0-9]")
+_RUN = re.compile(r"(?<![A-Za-z0-9+/=_])[A-Za-z0-9+/=_]{20,}")
+_TURN = re.compile(r"[0-9][A-Za-z]|[A-Za-z][0-9]")
 
 
 def luhn(digits: str) -> bool:
@@ -80,6 +84,27 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def secret_spans(text: str, base: list[tuple[str, int, int]], least_bits: float) -> list[tuple[str, int, int]]:
+    """("secret", start, end) of runs of 20 or more letters and digits, mixed in at least three places, that no base span
+    touches: their length times the entropy of their characters reaches least_bits."""
+    out = []
+    if _DIGIT.search(text) is None:
+        return out
+    for m in _RUN.finditer(text):
+        run = m.group()
+        if len(_TURN.findall(run)) < 3 or any(s < m.end() and m.start() < e for _, s, e in base):
+            continue
+        n = len(run)
+        if -sum(k * math.log2(k / n) for k in Counter(run).values()) >= least_bits:
+            out.append(("secret", m.start(), m.end()))
+    return out
+
+
+def every_span(text: str, secret_bits: float) -> list[tuple[str, int, int]]:
+    base = base_spans(text)
+    return base + secret_spans(text, base, secret_bits)
+
+
 def entities(kind: str, value: str) -> list[str]:
     """A span's value in one form, and the group it belongs to."""
     if kind == "email":
@@ -130,12 +155,14 @@ def _outside(text: str, base: list[tuple[str, int, int]]) -> Iterator[re.Match]:
 class Policy:
     """window: terms on each side of an entity. contexts: different windows that a pair must be seen in. share: of the
     entity's information content at which its mutual information with a term counts as disclosure. block: terms that are
-    applied in one pass over the documents, the bound of what is broadcast."""
+    applied in one pass over the documents, the bound of what is broadcast. secret_bits: information at which a run of
+    letters and digits is a secret."""
 
     window: int = 8
     contexts: int = 3
     share: float = 0.9
     block: int = 200_000
+    secret_bits: float = 80.0
 
 
 def disclosing_terms(docs: DataFrame, policy: Policy = Policy(), text_col: str = "text") -> DataFrame:
@@ -236,13 +263,13 @@ def counted(seen: Counter, bits) -> pa.RecordBatch:
 _HITS = "array<struct<s:int,e:int,g:string>>"
 
 
-def _with_hits(rows: DataFrame, terms: DataFrame, block: int):
-    """(rows with __hits, broadcast {term: generalised}): up to `block` terms travel as a dict, more by a join on the term.
+def _with_hits(rows: DataFrame, terms: DataFrame, policy: Policy):
+    """(rows with __hits, broadcast {term: generalised}): up to policy.block terms travel as a dict, more by a join on the term.
 
     In the join a bitmap of fixed size keeps words at home that are no such term; a row's hits are bounded by its text.
     """
     spark, n = rows.sparkSession, terms.count()
-    if n <= block:
+    if n <= policy.block:
         known = {r["term"]: r["generalised"] for r in terms.select("term", "generalised").collect()}
         return rows.withColumn("__hits", F.lit(None).cast(_HITS)), spark.sparkContext.broadcast(known)
     rows = materialise(rows.withColumn("__row", F.monotonically_increasing_id()), "pii-rows")
@@ -253,21 +280,21 @@ def _with_hits(rows: DataFrame, terms: DataFrame, block: int):
 
         for batch in batches:
             for part in slices(batch, "__text"):
-                yield here.maybe_hits(part, bits.value)
+                yield here.maybe_hits(part, bits.value, policy.secret_bits)
 
     found = rows.select("__row", "__text").mapInArrow(maybe, "__row bigint, term string, s int, e int").join(terms.select("term", F.col("generalised").alias("g")), "term")
     hits = found.groupBy("__row").agg(F.sort_array(F.collect_list(F.struct("s", "e", "g"))).alias("__hits"))
     return rows.join(hits, "__row", "left").drop("__row"), spark.sparkContext.broadcast({})
 
 
-def maybe_hits(part: pa.RecordBatch, bits) -> pa.RecordBatch:
+def maybe_hits(part: pa.RecordBatch, bits, secret_bits: float) -> pa.RecordBatch:
     from zlib import crc32
 
     import numpy as np
 
     out: list[tuple[int, str, int, int]] = []
     for row, text in zip(part.column("__row").to_pylist(), part.column("__text").to_pylist()):
-        found = list(_outside(text or "", base_spans(text or "")))
+        found = list(_outside(text or "", every_span(text or "", secret_bits)))
         words = [m.group().lower() for m in found]
         hit = bits.has(np.fromiter((crc32(w.encode()) for w in words), dtype=np.int64, count=len(words))) if words else []
         out += [(row, words[k], found[k].start(), found[k].end()) for k in np.flatnonzero(hit)]
@@ -290,40 +317,42 @@ def joined(spans: list[tuple]) -> str:
 
 
 def find(docs: DataFrame, policy: Policy = Policy(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_email, n_ip, n_card, n_phone, n_term, base_sha256, spans) of every row; null texts count as empty.
+    """(id, n_email, n_ip, n_card, n_phone, n_secret, n_private, n_term, base_sha256, spans) of every row; null texts count as empty.
 
-    Repeated rows repeat; an empty table gives an empty result. spans has the base spans by kind and start, then the
-    disclosing terms (kind `term`).
+    Repeated rows repeat; an empty table gives an empty result; other columns are not read. spans has the base spans by
+    kind and start, then secrets, then the disclosing terms (kind `term`); n_private counts all but the terms.
     """
     terms = materialise(disclosing_terms(docs, policy, text_col), "pii-terms")
-    rows, known = _with_hits(docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text")), terms, policy.block)
+    rows, known = _with_hits(docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text")), terms, policy)
     kind = rows.schema["__id"].dataType.simpleString()
-    schema = f"__id {kind}, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, n_term bigint, base_sha256 string, spans string"
+    schema = f"__id {kind}, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, n_secret bigint, n_private bigint, n_term bigint, base_sha256 string, spans string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from assayline.llm import pii as here
 
         for batch in batches:
             for part in slices(batch, "__text"):
-                n, sha, spans = [[] for _ in range(5)], [], []
+                n, sha, spans = [[] for _ in range(7)], [], []
                 for text, hits in zip(part.column("__text").to_pylist(), part.column("__hits").to_pylist()):
                     base = here.base_spans(text)
-                    extra = [("term", s, e) for s, e, _ in here.term_hits(text, known.value, base, hits)]
-                    for k, name in enumerate(here.KINDS):
-                        n[k].append(sum(s[0] == name for s in base) if base else 0)
-                    n[4].append(len(extra))
+                    direct = base + here.secret_spans(text, base, policy.secret_bits)
+                    extra = [("term", s, e) for s, e, _ in here.term_hits(text, known.value, direct, hits)]
+                    for k, name in enumerate((*here.KINDS, "secret")):
+                        n[k].append(sum(s[0] == name for s in direct) if direct else 0)
+                    n[5].append(len(direct))
+                    n[6].append(len(extra))
                     sha.append(hashlib.sha256(here.joined(base).encode()).hexdigest())
-                    spans.append(here.joined(base + extra))
+                    spans.append(here.joined(direct + extra))
                 yield pa.RecordBatch.from_arrays(
                     [part.column("__id"), *[pa.array(x, pa.int64()) for x in n], pa.array(sha, pa.string()), pa.array(spans, pa.string())],
-                    ["__id", "n_email", "n_ip", "n_card", "n_phone", "n_term", "base_sha256", "spans"],
+                    ["__id", "n_email", "n_ip", "n_card", "n_phone", "n_secret", "n_private", "n_term", "base_sha256", "spans"],
                 )
 
     return rows.select("__id", "__text", "__hits").mapInArrow(run, schema).withColumnRenamed("__id", id_col)
 
 
 def replaced(text: str, base: list[tuple[str, int, int]], hits: list[tuple[int, int, str | None]]) -> str:
-    """The text with each span generalised: base spans to their kind, terms to their class or to nothing. Overlapping base
+    """The text with each span generalised: base spans and secrets to their kind, terms to their class or to nothing. Overlapping
     spans become one, named by the one that starts first (the longer of two)."""
     spans = [(s, e, f"[{kind.upper()}]") for kind, s, e in base] + [(s, e, g or "") for s, e, g in hits]
     out, at = [], 0
@@ -338,7 +367,7 @@ def sanitise(docs: DataFrame, policy: Policy = Policy(), text_col: str = "text")
     """docs with text_col sanitised; all other columns, whatever their names, and all rows, repeated ones too, stay; null texts
     stay null, an empty table stays empty."""
     terms = materialise(disclosing_terms(docs, policy, text_col), "pii-terms")
-    rows, known = _with_hits(docs.withColumn("__text", F.col(text_col)), terms, policy.block)
+    rows, known = _with_hits(docs.withColumn("__text", F.col(text_col)), terms, policy)
 
     @F.arrow_udf("string")
     def clean(texts: pa.Array, hits: pa.Array) -> pa.Array:
@@ -349,8 +378,8 @@ def sanitise(docs: DataFrame, policy: Policy = Policy(), text_col: str = "text")
             out = []
             for text, hit in zip(part.column("t").to_pylist(), part.column("h").to_pylist()):
                 if text is not None:
-                    base = here.base_spans(text)
-                    text = here.replaced(text, base, here.term_hits(text, known.value, base, hit))
+                    spans = here.every_span(text, policy.secret_bits)
+                    text = here.replaced(text, spans, here.term_hits(text, known.value, spans, hit))
                 out.append(text)
             parts.append(pa.array(out, pa.string()))
         return pa.concat_arrays(parts) if parts else pa.array([], pa.string())

@@ -204,6 +204,19 @@ def test_base_spans_against_the_literal_patterns():
         assert pii.base_spans(t) == want, t
 
 
+def test_secrets(spark):
+    key = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    text = f'call me, token = "{key}" or supercalifragilisticexpialidocious and 4111111111111111 in chapter_and_verse_of_book_12345678'
+    assert pii.every_span(text, 80.0) == [("card", 102, 118), ("secret", 18, 58)]
+    assert pii.secret_spans("a1" * 30, [], 80.0) == [] and pii.secret_spans("x" * 50_000, [], 80.0) == [] and pii.secret_spans("", [], 80.0) == []
+    df = spark.createDataFrame([(1, text), (2, "plain"), (3, None)], "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.find(df).collect()}
+    assert (got[1].n_card, got[1].n_secret, got[1].n_private) == (1, 1, 2) and got[1].spans == "card:102:118,secret:18:58"
+    assert got[1].base_sha256 == hashlib.sha256(b"card:102:118").hexdigest() and got[2].n_private == got[3].n_private == 0
+    clean = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
+    assert "[SECRET]" in clean[1] and key not in clean[1] and clean[2] == "plain" and clean[3] is None
+
+
 @pytest.fixture(scope="module")
 def leaky(spark):
     """A code word that stands beside one address in different contexts, and nowhere else; common words do not disclose."""
