@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+import struct
 import tempfile
 import uuid
 from collections import Counter
@@ -44,6 +45,11 @@ def _byte_chars() -> dict[int, str]:
     return out
 
 
+def _packed(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit integers."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Codec:
     """Encodes and decodes whole texts; one lives in each Python worker."""
 
@@ -98,9 +104,10 @@ class Codec:
         known = int((ranks >= 0).sum())
         self.tally["looked_up"] += known
         self.tally["merged"] += len(words) - known
+        token, chunks = self.token, self.chunks
         for c, ws in zip(new, split):
-            all_ids = [i for w in ws for i in ids[w]]
-            self.chunks[c] = (np.array(all_ids, dtype="<u4").tobytes(), " ".join([self.token[i] for i in all_ids]))
+            all_ids = ids[ws[0]] if len(ws) == 1 else [i for w in ws for i in ids[w]]
+            chunks[c] = (_packed(all_ids), token[all_ids[0]] if len(all_ids) == 1 else " ".join([token[i] for i in all_ids]))
 
     def code(self, texts: list[str]) -> list[tuple[bytes, str]]:
         """(ids as little-endian unsigned 32-bit integers, decoded text) of each text."""
@@ -116,8 +123,12 @@ class Codec:
         self.learn(set().union(*split) - set(self.special.values()))
         get, out = self.chunks.__getitem__, []
         for parts in split:
-            got = [get(p) if p.__class__ is str else (np.array([p], dtype="<u4").tobytes(), self.token[p]) for p in parts]
-            out.append((b"".join([g[0] for g in got]), " ".join([g[1] for g in got])))
+            try:
+                got = list(map(get, parts))
+            except KeyError:  # a special token's id stands among the chunks
+                got = [get(p) if p.__class__ is str else (_packed([p]), self.token[p]) for p in parts]
+            ids, decoded = zip(*got) if got else ((), ())
+            out.append((b"".join(ids), " ".join(decoded)))
         return out
 
 
