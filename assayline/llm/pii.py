@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayline.llm.batches import bitmap_of, slices
-from assayline.runtime import materialise
+from assayline.runtime import discard, materialise
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -225,14 +225,17 @@ def disclosing_terms(docs: DataFrame, policy: Policy = Policy(), text_col: str =
     scored = scored.select(
         "entity", "term", "n_pair", "n_term", F.log2(F.least(F.col("n_pair") / F.col("n_term"), F.lit(1.0)) / p_entity).alias("pmi"), (-F.log2(p_entity)).alias("ic")
     ).withColumn("discloses", (F.col("pmi") >= F.lit(policy.share) * F.col("ic")) & (F.col("ic") > 0))
-    scored = materialise(scored.filter("discloses"), "pii-disclosing").select("entity", "term", "n_pair", "n_term", "pmi", "ic")
+    found = materialise(scored.filter("discloses"), "pii-disclosing")
+    discard(near)
+    scored = found.select("entity", "term", "n_pair", "n_term", "pmi", "ic")
     classes = scored.filter(F.col("term").endswith("*")).select("entity", F.col("term").alias("class"), F.lit(True).alias("__too"))
     out = scored.filter(~F.col("term").endswith("*")).withColumn("class", F.concat(F.substring("term", 1, 3), F.lit("*"))).join(classes, ["entity", "class"], "left")
     best = F.max_by(F.struct("entity", "pmi", "ic", "n_pair", "n_term"), F.struct("pmi", "entity")).alias("b")
     # A class that discloses any of a term's entities can't stand for the term.
-    return out.groupBy("term", "class").agg(best, F.bool_or(F.coalesce("__too", F.lit(False))).alias("__too")).select(
-        "term", "b.*", F.when(~F.col("__too"), F.col("class")).alias("generalised")
-    )
+    out = out.groupBy("term", "class").agg(best, F.bool_or(F.coalesce("__too", F.lit(False))).alias("__too"))
+    out = materialise(out.select("term", "b.*", F.when(~F.col("__too"), F.col("class")).alias("generalised")), "pii-terms")
+    discard(found)
+    return out
 
 
 def pair_rows(found: list[tuple[str, str, int, int]]) -> pa.RecordBatch:
@@ -322,7 +325,7 @@ def find(docs: DataFrame, policy: Policy = Policy(), id_col: str = "doc_id", tex
     Repeated rows repeat; an empty table gives an empty result; other columns are not read. spans has the base spans by
     kind and start, then secrets, then the disclosing terms (kind `term`); n_private counts all but the terms.
     """
-    terms = materialise(disclosing_terms(docs, policy, text_col), "pii-terms")
+    terms = disclosing_terms(docs, policy, text_col)
     rows, known = _with_hits(docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text")), terms, policy)
     kind = rows.schema["__id"].dataType.simpleString()
     schema = f"__id {kind}, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, n_secret bigint, n_private bigint, n_term bigint, base_sha256 string, spans string"
@@ -366,7 +369,7 @@ def replaced(text: str, base: list[tuple[str, int, int]], hits: list[tuple[int,
 def sanitise(docs: DataFrame, policy: Policy = Policy(), text_col: str = "text") -> DataFrame:
     """docs with text_col sanitised; all other columns, whatever their names, and all rows, repeated ones too, stay; null texts
     stay null, an empty table stays empty."""
-    terms = materialise(disclosing_terms(docs, policy, text_col), "pii-terms")
+    terms = disclosing_terms(docs, policy, text_col)
     rows, known = _with_hits(docs.withColumn("__text", F.col(text_col)), terms, policy)
 
     @F.arrow_udf("string")
