@@ -60,7 +60,7 @@ class Counter:
         out, batch, held = [0] * len(texts), [], 0
         for i in order:
             batch.append(i)
-            held += len(texts[i]) + 16
+            held += (len(texts[i]) if texts[i].isascii() else len(texts[i].encode())) + 16
             if held >= self.batch_bytes:
                 self._encode(texts, batch, out)
                 batch, held = [], 0
