@@ -119,7 +119,11 @@ class StringKernelSvm:
             back = np.repeat(np.arange(t.size), n)
             entry = np.arange(back.size) - np.repeat(np.cumsum(n) - n, n) + self.first[t][back]
             k = np.bincount(row[back] * m + self.column[entry], weights=weight[row, col][back] * self.value[entry], minlength=some.size * m)
-            yield some, (k.reshape(some.size, m) / norm[:, None]) ** self.power
+            k = k.reshape(some.size, m) / norm[:, None]
+            out = k.copy()
+            for _ in range(self.power - 1):
+                out *= k
+            yield some, out
 
     def matrix(self, some_forms: list[str]) -> np.ndarray:
         """The kernels of forms with the landmarks, all in memory."""
@@ -298,8 +302,8 @@ def train(texts: list[str], labels: list[int], c: float = 10.0, emphasis: float
 
     def words_matrix(words: list[str]) -> np.ndarray:
         owner = [(x, f) for x, w in enumerate(words) for f in forms(w)]
-        out = np.zeros((len(words), len(landmarks)))
-        np.add.at(out, np.array([w for w, _ in owner], dtype=np.int64), model.matrix([f for _, f in owner]))
+        out = np.zeros((len(words), len(landmarks)), dtype=np.float32)
+        np.add.at(out, np.array([w for w, _ in owner], dtype=np.int64), model.matrix([f for _, f in owner]).astype(np.float32))
         return out
 
     for part in portions([texts[x] for x in order], 100_000):
@@ -316,15 +320,21 @@ def train(texts: list[str], labels: list[int], c: float = 10.0, emphasis: float
         x = words_matrix(got.words)
         strong = x[:, :n_contrast].max(axis=1, initial=0.0) > near
         insults.update(got.words[w] for w in np.flatnonzero(strong))
-        hit = new & np.logical_or.reduceat(strong[ids], first)
-        for keep, n, put, salt in ((new, 1.0, None, 0), (hit, emphasis, 0, 0), (hit, emphasis, 1, 1), (hit, emphasis, 1, 2), (hit, emphasis, 2, 3)):
-            if put is not None:
-                x[~strong] = 0.0
-                x[strong] = words_matrix([disguised(got.words[w], put, salt) for w in np.flatnonzero(strong)])
-            if keep.any():
-                parts.append((np.add.reduceat(x[ids], first, axis=0)[keep] @ root).astype(np.float32))
-                ys.append(y[keep])
-                times.append(np.full(int(keep.sum()), n))
+        parts.append((np.add.reduceat(x[ids], first, axis=0)[new] @ root).astype(np.float32))
+        ys.append(y[new])
+        times.append(np.ones(int(new.sum())))
+        at = np.flatnonzero(strong[ids])
+        if not at.size:
+            continue
+        names, back = np.unique(ids[at], return_inverse=True)
+        owners = got.segment[by][at]
+        begin = np.flatnonzero(np.append(True, owners[1:] != owners[:-1]))
+        keep = new[owners[begin]]
+        for put, salt in ((0, 0), (1, 1), (1, 2), (2, 3)):
+            some = words_matrix([disguised(got.words[w], put, salt) for w in names])
+            parts.append((np.add.reduceat(some[back], begin, axis=0)[keep] @ root).astype(np.float32))
+            ys.append(y[owners[begin]][keep])
+            times.append(np.full(int(keep.sum()), emphasis))
     # A sentence unlike all landmarks counts as clean, a tenth as often as all that were seen.
     parts, ys, times = [np.zeros((1, len(landmarks)), np.float32), *parts], [np.array([-1.0]), *ys], [np.array([1 + len(seen) / 10]), *times]
     w, b = squared_hinge(parts, np.concatenate(ys), np.concatenate(times), c)
