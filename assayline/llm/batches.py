@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def slices(batch: pa.RecordBatch, text: str, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, text: str, max_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts a batch so that each slice's texts have at most max_bytes, or it is one row."""
     sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
     ends, start, held = np.cumsum(sizes, dtype=np.int64), 0, 0
