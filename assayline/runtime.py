@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 #: Bytes of an Arrow batch on its way to Python: a batch of long texts must not depend on its number of rows.
-ARROW_BYTES = 8 << 20
+ARROW_BYTES = 2 << 20
 
 
 def ship(spark: SparkSession) -> None:
