@@ -53,11 +53,36 @@ def diagonal(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
+def _layout(spark: SparkSession, path: str) -> tuple[str, str]:
+    """(extension, schema or header line) of a file: files of one layout can be read together."""
+    kind = path.rpartition(".")[2]
+    if kind == "parquet":
+        return kind, spark.read.parquet(path).schema.json()
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(at), "UTF-8"))
+    try:
+        return kind, reader.readLine() or ""
+    finally:
+        reader.close()
+
+
 def read_folder(spark: SparkSession, root: str, skip: Callable[[str], bool] = lambda name: False) -> DataFrame | None:
-    """All csv, tsv and parquet files of a folder but those that `skip` names, as one diagonal union with src_file; none gives None."""
-    paths = [r["path"] for r in listing(spark, root).select("path").toLocalIterator()]
-    kept = sorted(p for p in paths if p.rpartition(".")[2] in ("csv", "tsv", "parquet") and not skip(p.rpartition("/")[2]))
-    return diagonal([read_any(spark, p).withColumn("src_file", F.lit(p.rpartition("/")[2])) for p in kept]) if kept else None
+    """All csv, tsv and parquet files of a folder but those that `skip` names, as one diagonal union with src_file; none gives
+    None. Files of one layout are one scan: the plan grows with the layouts, not with the files."""
+    groups: dict[tuple[str, str], list[str]] = {}
+    for r in listing(spark, root).select("path").toLocalIterator():
+        path = r["path"]
+        if path.rpartition(".")[2] in ("csv", "tsv", "parquet") and not skip(path.rpartition("/")[2]):
+            groups.setdefault(_layout(spark, path), []).append(path)
+    frames = []
+    for (kind, _), paths in sorted(groups.items()):
+        if kind == "parquet":
+            df = spark.read.parquet(*paths)
+        else:
+            df = spark.read.option("header", True).option("sep", "\t" if kind == "tsv" else ",").csv(paths)
+        frames.append(df.select("*", F.col("_metadata.file_name").alias("src_file")))
+    return diagonal(frames) if frames else None
 
 
 def found_or_missing(df: DataFrame, key: str, value: str, missing: str = "not found") -> DataFrame:
