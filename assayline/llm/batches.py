@@ -12,8 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def slices(batch: pa.RecordBatch, text: str, max_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
-    """Cuts a batch so that each slice's texts have at most max_bytes, or it is one row."""
+def slices(batch: pa.RecordBatch, text: str, max_bytes: int = 2 << 20, keep: bool = False) -> Iterator[pa.RecordBatch]:
+    """Cuts a batch so that each slice's texts have at most max_bytes, or it is one row. Without `keep` the worker drops what
+    held() keeps: the operator that runs now has no use for it."""
+    if not keep:
+        _HELD.clear()
     sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
     ends, start, held = np.cumsum(sizes, dtype=np.int64), 0, 0
     while start < batch.num_rows:

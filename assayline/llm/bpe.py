@@ -148,7 +148,7 @@ def frequent_words(docs: DataFrame, tokenizer_path: str, size: int, text_col: st
 
         codec, seen = here._codec(tokenizer_path, None), Counter()
         for batch in batches:
-            for part in slices(batch, "__text", SLICE):
+            for part in slices(batch, "__text", SLICE, keep=True):
                 chunks: Counter = Counter()
                 for text in part.column("__text").to_pylist():
                     chunks.update(codec.normal_chunks(text))
@@ -192,7 +192,7 @@ def encode_decode(
 
         codec = here._codec(tokenizer_path, lexicon_name, cache)
         for batch in batches:
-            for part in slices(batch, "__text", SLICE):
+            for part in slices(batch, "__text", SLICE, keep=True):
                 got = codec.code(part.column("__text").to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [part.column("__id"), pa.array([g[0] for g in got], pa.binary()), pa.array([g[1] for g in got], pa.string())], ["__id", "ids", "decoded"]
@@ -213,7 +213,7 @@ def coding_digests(
 
         codec = here._codec(tokenizer_path, lexicon_name, cache)
         for batch in batches:
-            for part in slices(batch, "__text", SLICE):
+            for part in slices(batch, "__text", SLICE, keep=True):
                 got = codec.code(part.column("__text").to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [

@@ -89,7 +89,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 512, id_col:
 
         counter = held(("count", tokenizer_path), lambda: here.Counter(tokenizer_path))
         for batch in batches:
-            for part in slices(batch, "__text"):
+            for part in slices(batch, "__text", keep=True):
                 n = pa.array(counter.count(part.column("__text").to_pylist()), pa.int64())
                 size = pc.cast(pc.binary_length(part.column("__text")), pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column("__id"), size, n, pc.greater(n, limit)], ["__id", "n_bytes", "n_tokens", "over_limit"])

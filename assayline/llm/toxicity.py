@@ -106,7 +106,7 @@ class StringKernelSvm:
 
     def __setstate__(self, state):
         self.__dict__.update(state)
-        self.cache = held(("toxicity", self.key), lambda: Cache(150_000))
+        self.cache = held(("toxicity", self.key), lambda: Cache(100_000))
 
     def kernels(self, words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(positions in words, their kernels with every landmark), some words at a time; words of under 3 characters have none."""
@@ -420,7 +420,7 @@ def scores(docs: DataFrame, model: StringKernelSvm, threshold: float = 0.7, id_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "__text"):
+            for part in slices(batch, "__text", keep=True):
                 s = sent.value.score(part.column("__text").to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column("__id"), part.column("held_out"), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["__id", "held_out", "score", "predicted"])
 
