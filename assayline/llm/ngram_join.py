@@ -285,18 +285,19 @@ def _opened_cold(cold: DataFrame, percent: int, share: int) -> DataFrame:
     groups = cold.groupBy("token", "label", "n").agg(F.max("room").alias("room"))
     a, b = groups.alias("a"), groups.alias("b")
     met = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.label") < F.col("b.label")) & _sizes_fit(F.col("a.n"), F.col("b.n"), percent))
-    met = met.groupBy(F.col("a.label").alias("la"), F.col("a.n").alias("na"), F.col("b.label").alias("lb"), F.col("b.n").alias("nb")).agg(
-        F.count(F.lit(1)).alias("shared"), F.max(F.least("a.room", "b.room")).alias("room")
-    )
+    met = met.select("a.token", F.col("a.label").alias("la"), F.col("a.n").alias("na"), F.col("b.label").alias("lb"), F.col("b.n").alias("nb"), F.least("a.room", "b.room").alias("room"))
+    pairs = met.groupBy("la", "na", "lb", "nb").agg(F.count(F.lit(1)).alias("shared"), F.max("room").alias("room"))
     enough = F.col("shared") + F.col("room") >= _need(F.least("na", "nb"), percent, share)
-    opened = met.filter(enough).drop("shared", "room")
+    opened = pairs.filter(enough).drop("shared", "room")
     size = cold.groupBy("label", "n").agg(F.count_distinct("node").alias("c"), F.min("node").alias("node"))
     side = lambda s: size.select(F.col("label").alias(f"l{s}"), F.col("n").alias(f"n{s}"), F.col("c").alias(f"c{s}"), F.col("node").alias(s))
     opened = materialise(opened.join(side("a"), ["la", "na"]).join(side("b"), ["lb", "nb"]), "tgm-opened")
     alone = (F.col("ca") == 1) & (F.col("cb") == 1)
-    x = cold.select("token", F.col("label").alias("la"), F.col("n").alias("na"), F.col("node").alias("x"), F.col("room").alias("rx")).join(opened.filter(~alone).select("la", "na", "lb", "nb"), ["la", "na"])
+    # Members meet at the tokens that their groups share: a group's other tokens must not be dealt to each group it is opened with.
+    at = met.drop("room").join(opened.filter(~alone).select("la", "na", "lb", "nb"), ["la", "na", "lb", "nb"], "left_semi")
+    x = cold.select("token", F.col("label").alias("la"), F.col("n").alias("na"), F.col("node").alias("x"), F.col("room").alias("rx"))
     y = cold.select("token", F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("node").alias("y"), F.col("room").alias("ry"))
-    members = x.join(y, ["token", "lb", "nb"]).groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(
+    members = at.join(x, ["token", "la", "na"]).join(y, ["token", "lb", "nb"]).groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(
         F.count(F.lit(1)).alias("shared"), F.max(F.least("rx", "ry")).alias("room"), F.max(F.least("na", "nb")).alias("n")
     )
     members = members.filter(F.col("shared") + F.col("room") >= _need(F.col("n"), percent, share))

@@ -475,3 +475,27 @@ def test_decontamination_of_long_texts_in_pieces(monkeypatch):
     for piece in (211, 400, 1000, 1601):
         monkeypatch.setattr(decontam, "PIECE", piece)
         assert sorted(index.search([text, "short"])) == whole and {g[1] for g in whole} == {0, 2}
+
+
+def _join_rows(plan) -> list[int]:
+    """Rows that each join of an executed plan made."""
+    name = plan.nodeName()
+    if name == "AdaptiveSparkPlan":
+        return _join_rows(plan.executedPlan())
+    if name.endswith("QueryStage"):
+        return _join_rows(plan.plan())
+    kids, own = plan.children(), plan.metrics().get("numOutputRows")
+    rows = [own.get().value()] if "Join" in name and own.isDefined() else []
+    return rows + [n for k in range(kids.size()) for n in _join_rows(kids.apply(k))]
+
+
+def test_ngram_join_members_meet_at_shared_tokens_only(spark):
+    """A group of 100 sets with 30 tokens each is opened with 60 sets, each like one of its members."""
+    own = [(1000 * m + t, 1, 100, m, 0) for m in range(1, 101) for t in range(30)]
+    other = [(1000 * m + t, 1000 + m, 100, 1000 + m, 0) for m in range(1, 61) for t in range(4)]
+    few = [(1000 * m + t, 2000 + m, 100, 2000 + m, 0) for m in range(1, 61) for t in range(10, 13)]
+    cold = spark.createDataFrame([*own, *other, *few], "token long, label long, n int, node long, room int")
+    found = ngram_join._opened_cold(cold, 80, 4)
+    assert sorted((r.a, r.b) for r in found.collect()) == [(m, 1000 + m) for m in range(1, 61)]
+    made = _join_rows(found._jdf.queryExecution().executedPlan())
+    assert made and max(made) <= 1000  # not 100 x 30 x 60
